@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from seqloom.llm import op5_secrets
+from seqloom.llm.op4_decontaminate import op4_decontaminate
+from seqloom.llm.op5_secrets import SQL as SECRETS
+from seqloom.llm.op5_secrets import op5_secret_links
+from seqloom.llm.op6_mixing import op6_mix_sources
+from seqloom.llm.op8_simhash import op8_simhash_groups
+from seqloom.llm.op10_token_counts import op10_token_counts
 
 
 def queries():
-    return {"op5_secret_links": op5_secrets.op5_secret_links}
+    return {f.__name__: f for f in (op4_decontaminate, op5_secret_links, op6_mix_sources, op8_simhash_groups, op10_token_counts)}
 
 
 def oracle_sql():
-    return {"op5_secret_links": op5_secrets.SQL}
+    return {"op5_secret_links": SECRETS}
