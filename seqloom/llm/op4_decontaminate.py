@@ -10,15 +10,16 @@ itself; an item is retrieved if its score is ``threshold`` or more.
 Upper bounds come first: the largest weight of every term in each block of
 items, summed over a passage's terms for all blocks of a batch of documents at
 once.  Passages with no block at the threshold can retrieve nothing.  The others
-run block-max WAND over the posting lists: a pivot by the terms' maxima, then
-the maxima of the blocks around the pivot, then the exact score.
+run block-max WAND over the posting lists of the blocks that are left: a pivot by
+the terms' maxima, then the maxima of the posting blocks around the pivot, then
+the exact score.
 
 A retrieved item counts as a leak if the passage holds ``similarity`` or more of
 the five-word shingles of its question and of the words of its answer.  The
 answer is the item's last sentence, or, of a single sentence, its last third.
 
-Words are lower-cased runs of characters other than white space and ASCII
-punctuation.  The index is broadcast in shards of at most ``shard_bytes`` of
+Words are lower-cased runs of characters other than ASCII blanks, controls and
+punctuation, held as UTF-8.  The index is broadcast in shards of at most ``shard_bytes`` of
 item text, each a pass over the corpus; document frequencies are those of all
 items, so the number of shards changes no score.
 
@@ -32,8 +33,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +45,15 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import table
 
-_PUNCTUATION = {c: " " for c in range(33, 128) if not chr(c).isalnum()}
+_PUNCTUATION = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 K1, B = 1.2, 0.75
 
 
-def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().translate(_PUNCTUATION).split()
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode().translate(_PUNCTUATION).split()
 
 
-def parts_of(text: str | None) -> tuple[list[str], list[str]]:
+def parts_of(text: str | None) -> tuple[list[bytes], list[bytes]]:
     """An item's question and answer."""
     sentences = [w for s in re.split(r"(?<=[.?!])\s+", text or "") if (w := words_of(s))]
     if len(sentences) > 1:
@@ -60,19 +63,19 @@ def parts_of(text: str | None) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
-def shingles(words: list[str], n: int = 5) -> set[tuple[str, ...]]:
+def shingles(words: list[bytes], n: int = 5) -> set[tuple[bytes, ...]]:
     return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
 
 
 class Index:
     """Inverted index of the items' BM25 weights."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_len: float, block: int = 4, posting_block: int = 8):
+    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n_items: int, mean_len: float, block: int = 4, posting_block: int = 8):
         self.ids = [i for i, _ in items]
         self.parts = [parts_of(t) for _, t in items]
         words = [q + a for q, a in self.parts]
         self.longest = max(map(len, words), default=0)
-        self.term: dict[str, int] = {}
+        self.term: dict[bytes, int] = {}
         entries: dict[int, list[tuple[int, float]]] = {}
         for k, ws in enumerate(words):
             weights = {}
@@ -92,12 +95,14 @@ class Index:
             docs, ws = [k for k, _ in entries[t]], [x for _, x in entries[t]]
             tops = [max(ws[j : j + posting_block]) for j in range(0, len(ws), posting_block)]
             self.lists.append((docs, ws, tops, max(ws)))
-        self.posting_block = posting_block
+        self.block, self.posting_block = block, posting_block
 
-    def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """Items whose score for ``terms`` is the threshold or more."""
+    def wand(self, terms: list[int], threshold: float, lo: int = 0, hi: int | None = None) -> list[tuple[int, float]]:
+        """Items from ``lo`` to before ``hi`` whose score for ``terms`` is the
+        threshold or more."""
         n, found, eps = self.posting_block, [], 1e-9
-        at = [[self.lists[t], 0] for t in terms]
+        hi = len(self.ids) if hi is None else hi
+        at = [[x, p] for t in terms if (p := bisect_left((x := self.lists[t])[0], lo)) < len(x[0]) and x[0][p] < hi]
         while at:
             at.sort(key=lambda x: x[0][0][x[1]])
             total, pivot = 0.0, -1
@@ -139,10 +144,10 @@ class Index:
                     while p < len(x[0]) and x[0][p] < goal:
                         p += 1
                     entry[1] = p
-            at = [x for x in at if x[1] < len(x[0][0])]
+            at = [x for x in at if x[1] < len(x[0][0]) and x[0][0][x[1]] < hi]
         return found
 
-    def overlap(self, item: int, words: list[str]) -> tuple[float, float]:
+    def overlap(self, item: int, words: list[bytes]) -> tuple[float, float]:
         question, answer = self.parts[item]
         n = min(5, len(question)) or 1
         asked, there = shingles(question), shingles(words, n)
@@ -157,7 +162,7 @@ class Index:
         get, found = self.term.get, []
         counts = [-(-len(w) // cell) for w in words]
         first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        ids = np.fromiter((get(w, -1) for ws in words for w in ws), np.int32, sum(map(len, words)))
+        ids = np.fromiter(map(get, chain.from_iterable(words), repeat(-1)), np.int32, sum(map(len, words)))
         cells = np.concatenate([first[k] + np.arange(len(ws)) // cell for k, ws in enumerate(words)] or [np.zeros(0, np.int64)])
         pairs = np.unique(cells[ids >= 0].astype(np.int64) * len(self.term) + ids[ids >= 0])
         if not len(pairs):
@@ -178,10 +183,12 @@ class Index:
                 continue  # a last cell alone is part of the passage before
             passage = words[k][p * cell : (p + 2) * cell]
             terms = [t for w in dict.fromkeys(passage) if (t := get(w)) is not None]
-            for item, score in self.wand(terms, threshold):
-                q, a = self.overlap(item, passage)
-                if q >= similarity and a >= similarity:
-                    found.append((k, item, p, score, q, a))
+            # without what both cells have counted twice, few blocks are left
+            for block in np.flatnonzero(self.upper[terms].sum(0) >= threshold - 1e-4).tolist():
+                for item, score in self.wand(terms, threshold, block * self.block, (block + 1) * self.block):
+                    q, a = self.overlap(item, passage)
+                    if q >= similarity and a >= similarity:
+                        found.append((k, item, p, score, q, a))
         return found
 
 
@@ -193,10 +200,10 @@ def indexes(benchmark: DataFrame, shard_bytes: int = 32 << 20) -> list[Index]:
         for b in batches:
             for t in b.column(0).to_pylist():
                 ws = Counter(words_of(t))
-                yield pa.RecordBatch.from_arrays([pa.array(list(ws), pa.string()), pa.array([sum(ws.values())] * len(ws), pa.int64())], ["term", "len"])
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([sum(ws.values())], pa.int64())], ["term", "len"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(ws), pa.binary()), pa.array([sum(ws.values())] * len(ws), pa.int64())], ["term", "len"])
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([sum(ws.values())], pa.int64())], ["term", "len"])
 
-    terms = items.select("text").mapInArrow(tokens, "term string, len long")
+    terms = items.select("text").mapInArrow(tokens, "term binary, len long")
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if not n:
         return []
@@ -207,8 +214,8 @@ def indexes(benchmark: DataFrame, shard_bytes: int = 32 << 20) -> list[Index]:
     for s in range(shards):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s) if shards > 1 else items
         own = sorted(((r[0], r[1]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        mine = df.join(part.select("text").mapInArrow(tokens, "term string, len long").select("term").distinct(), "term") if shards > 1 else df
-        out.append(Index(own, {r[0]: r[1] for r in mine.collect()}, n, mean))
+        mine = df.join(part.select("text").mapInArrow(tokens, "term binary, len long").select("term").distinct(), "term") if shards > 1 else df
+        out.append(Index(own, {bytes(r[0]): r[1] for r in mine.collect()}, n, mean))
     return out
 
 
