@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seqloom.plans import automata
+
 Query = Callable[[SparkSession, str], DataFrame]
+AREAS = (automata,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for area in AREAS for name, q in area.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for area in AREAS for name, s in area.oracle_sql().items()}
