@@ -26,6 +26,11 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         seen, frontier = seen.union(new).checkpoint(), new
 
 
+def _small(edges: DataFrame, limit: int = 100_000) -> bool:
+    """Compiled automata are small; larger tables go by checkpointed frontiers."""
+    return edges.limit(limit + 1).count() <= limit
+
+
 def live(edges: DataFrame, accepting: DataFrame) -> DataFrame:
     """(state): states from which an accepting one can be reached."""
     return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), accepting)

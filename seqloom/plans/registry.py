@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.plans import automata
+from seqloom.plans import automata, corpora, evaluation
 
 Query = Callable[[SparkSession, str], DataFrame]
-AREAS = (automata,)
+AREAS = (automata, evaluation, corpora)
 
 
 def queries() -> dict[str, Query]:
