@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.plans import automata, corpora, evaluation
+from seqloom.plans import automata, corpora, evaluation, models
 
 Query = Callable[[SparkSession, str], DataFrame]
-AREAS = (automata, evaluation, corpora)
+AREAS = (automata, evaluation, corpora, models)
 
 
 def queries() -> dict[str, Query]:
