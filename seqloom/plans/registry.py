@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.plans import automata, corpora, evaluation, models
+from seqloom.plans import automata, corpora, evaluation, models, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
-AREAS = (automata, evaluation, corpora, models)
+AREAS = (automata, evaluation, corpora, models, scoring)
 
 
 def queries() -> dict[str, Query]:
