@@ -102,7 +102,10 @@ def trigram_model(docs: DataFrame, declared: Column, languages: tuple[str, ...],
     for lang, bucket, n in sums:
         counts[lang, bucket] += n
     counts[-1] = 1
-    return np.log(counts / counts.sum(1, keepdims=True)), bool(sums)
+    model = np.log(counts / counts.sum(1, keepdims=True))
+    # a language that no text declares has no model: no text reads as it
+    model[[k for k in range(len(languages)) if k not in {r[0] for r in sums}]] = -50
+    return model, bool(sums)
 
 
 def read_texts(docs: DataFrame, keep: dict[str, Column], model: np.ndarray, full_weight: int = 200) -> DataFrame:
