@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.hmm.model import LOG_ZERO, Hmm
@@ -150,3 +150,22 @@ def flows(df: DataFrame, hmm: Hmm, tokens: str = "tokens") -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(i, pa.int32()), pa.array(k, pa.int32()), pa.array(mass, pa.float64())], ["kind", "i", "k", "mass"])
 
     return df.select(tokens).mapInArrow(run, "kind string, i int, k int, mass double").groupBy("kind", "i", "k").agg(F.sum("mass").alias("mass"))
+
+
+def sample(spark: SparkSession, hmm: Hmm, n: int, length: int, seed: int = 0, stop: int | None = None) -> DataFrame:
+    """(seq_id, tokens): sequences drawn from the model, filled up with the stop
+    token once it is drawn.  A sequence depends on the seed and its id alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k in b.column(0).to_pylist():
+                rng = np.random.default_rng((seed, k))
+                z, tokens = rng.choice(hmm.states, p=hmm.start), []
+                for _ in range(length):
+                    tokens.append(stop if stop is not None and tokens[-1:] == [stop] else int(rng.choice(hmm.tokens, p=hmm.emit[z])))
+                    z = rng.choice(hmm.states, p=hmm.move[z])
+                out.append(tokens)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["seq_id", "tokens"])
+
+    return spark.range(n).withColumnRenamed("id", "seq_id").mapInArrow(run, "seq_id long, tokens array<int>")

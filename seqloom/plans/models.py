@@ -133,10 +133,20 @@ def matmul_a_logb(spark, sf_dir):
     return _rounded(logspace.matmul_a_logb(_matrix(spark, sf_dir, False)[0], _matrix(spark, sf_dir, True)[1]))
 
 
+def edge_weights(spark, sf_dir):
+    """Edges of a graph of event types take their targets' weights, states sum
+    what leaves them: the two steps of going back through an automaton once.
+    Classes are hours of the day, weights logarithms of users' counts."""
+    ev = streams.table(spark, sf_dir, "events").withColumn("token", streams.event_token())
+    edges = ev.select((F.col("event_id") % 5).cast("int").alias("src"), F.hour("ts").alias("cls"), F.col("token").alias("dst")).distinct()
+    weights = ev.groupBy(F.col("token").alias("state"), (F.col("user_id") % 4).cast("int").alias("i")).agg((F.log(F.count("*").cast("double")) - 10).alias("x"))
+    return _rounded(logspace.from_edges(logspace.to_edges(edges, weights)))
+
+
 def queries():
     own = (
         hmm_loglik, hmm_loglik_missing, hmm_total_ll, hmm_prefix_state, hmm_posterior, hmm_flows, hmm_bruteforce, em_dropout,
-        em_missing_redist, em_mstep, em_step, em_schedule, logsumexp_agg, matmul_log, matmul_loga_b, matmul_a_logb,
+        em_missing_redist, em_mstep, em_step, em_schedule, logsumexp_agg, matmul_log, matmul_loga_b, matmul_a_logb, edge_weights,
     )
     return {f.__name__: f for f in own}
 
@@ -219,5 +229,9 @@ def oracle_sql():
             union all {step(beta, V)} union all {step('''(select kind, 0 as i, i as k, mass from fl where kind = 'gamma')''', H)})""",
         "em_schedule": f"select step, chunk, n from (values {plan}) p(step, chunk) join (select event_id % {CHUNKS} as chunk, count(*) as n from events group by 1) using (chunk)",
         "logsumexp_agg": "select event_type, round(max(value) + ln(sum(exp(value - m))), 6) as lse from (select *, max(value) over (partition by event_type) as m from events) group by 1, m",
+        "edge_weights": """with e as (select *, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 as token from events),
+            g as (select distinct cast(event_id % 5 as int) as src, hour(ts) as cls, token as dst from e),
+            w as (select token, cast(user_id % 4 as int) as i, ln(count(*)) - 10 as x from e group by 1, 2)
+            select src as state, i, round(ln(sum(exp(x))), 6) as x from g join w on w.token = g.dst group by 1, 2""",
         "matmul_log": product, "matmul_loga_b": product, "matmul_a_logb": product,
     }

@@ -140,3 +140,11 @@ def test_logspace(spark):
     weights = spark.createDataFrame([(1, 0, -1.0), (2, 0, -2.0)], "state int, i int, x double")
     (row,) = logspace.from_edges(logspace.to_edges(edges, weights)).collect()
     assert (row.state, row.i) == (0, 0) and row.x == pytest.approx(math.log(math.exp(-1) + math.exp(-2)))
+
+
+def test_sampling_follows_the_model(spark):
+    rows = inference.sample(spark, M, 3000, 2, seed=5).collect()
+    assert rows == inference.sample(spark, M, 3000, 2, seed=5).collect()
+    share = np.bincount([r.tokens[0] for r in rows], minlength=5) / 3000
+    assert np.allclose(share, M.start @ M.emit, atol=0.04)
+    assert all(4 not in r.tokens or set(r.tokens[r.tokens.index(4) :]) == {4} for r in inference.sample(spark, M, 50, 8, stop=4).collect())
