@@ -37,40 +37,42 @@ from seqloom.llm.common import table
 
 
 class CoverTree:
-    """Flat arrays of nodes: centre, radius, norm, children, points."""
+    """Flat arrays of nodes: centre, radius, norm, children, points.  Distances
+    come from products; radii are widened by what rounding may take from them."""
 
     def __init__(self, x: np.ndarray, leaf: int, fan: int = 16):
-        self.x = x
-        self.centre, self.radius, self.children, self.points = [], [], [], []
+        self.x, self.squares = x, (x**2).sum(1)
+        self.slack = 1e-6 * (1 + float(np.sqrt(self.squares.max(initial=0))))
+        self.centre, self.radius, self.children, self.points, self._far = [], [], [], [], []
         self._add(np.arange(len(x)), 0)
         at = 0
         while at < len(self.centre):
             points, far = self.points[at], self._far[at]
-            if len(points) > leaf and self.radius[at] > 0:
+            if len(points) > leaf and self.radius[at] > 2 * self.slack:
                 owner, least, centres = np.zeros(len(points), np.int64), far.copy(), [self.centre[at]]
-                while len(centres) < fan and least.max() > self.radius[at] / 2:
+                while len(centres) < fan and least.max() > max(self.radius[at] / 2, 2 * self.slack):
                     centres.append(points[int(least.argmax())])
                     d = self._distance(points, centres[-1])
                     nearer = d < least
                     owner[nearer], least[nearer] = len(centres) - 1, d[nearer]
-                for k, c in enumerate(centres):
-                    if (own := points[owner == k]).size:
-                        self.children[at].append(self._add(own, c))
-                self.points[at] = points[:0]
+                if len(centres) > 1:
+                    for k, c in enumerate(centres):
+                        if (own := points[owner == k]).size:
+                            self.children[at].append(self._add(own, c))
+                    self.points[at] = points[:0]
+            self._far[at] = None
             at += 1
         self.centres = x[np.array(self.centre)]
         self.norms = np.sqrt((self.centres**2).sum(1))
         self.radii = np.array(self.radius)
 
     def _distance(self, points: np.ndarray, centre: int) -> np.ndarray:
-        return np.sqrt(((self.x[points] - self.x[centre]) ** 2).sum(1))
+        return np.sqrt(np.maximum(self.squares[points] + self.squares[centre] - 2 * (self.x[points] @ self.x[centre]), 0))
 
     def _add(self, points: np.ndarray, centre: int) -> int:
-        if not self.centre:
-            self._far = []
         far = self._distance(points, centre)
         self.centre.append(centre)
-        self.radius.append(float(far.max()))
+        self.radius.append(float(far.max()) + self.slack)
         self.children.append([])
         self.points.append(points)
         self._far.append(far)
@@ -85,11 +87,19 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.T.astype(np.int64)
 
 
-def search(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, d_ids: np.ndarray, k: int, q_leaf: int = 32, d_leaf: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its k best (scores, ids) and how many there are; rows of
-    ``data`` with the query's own id are passed over."""
-    none = np.iinfo(np.int64).min
-    top, ids = np.full((len(queries), k), none), np.full((len(queries), k), np.iinfo(np.int64).max)
+def search(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, d_ids: np.ndarray, k: int, q_leaf: int = 128, d_leaf: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query its k best (scores, ids), best first, and how many there
+    are; rows of ``data`` with the query's own id are passed over."""
+    order = np.argsort(d_ids, kind="stable")
+    data, d_ids = data[order], d_ids[order]
+    n, none = len(data), np.iinfo(np.int64).min
+    # a score and a row make one number that sorts by score, then by the smaller
+    # id; the rows are in the order of ids.  Too wide scores are ranked first.
+    wide = float(np.sqrt((queries**2).sum(1).max(initial=0)) * np.sqrt((data**2).sum(1).max(initial=0)))
+    if wide * 2 * n >= 2.0**62:
+        return _search_wide(queries, q_ids, data, d_ids, k)
+    best = np.full((len(queries), k), none)
+    kth = np.full(len(queries), -np.inf)  # the worst score kept, as a number to compare bounds with
     qt, dt = CoverTree(queries, q_leaf), CoverTree(data, d_leaf)
     q_norm = np.sqrt((queries**2).sum(1))
     slack = 1e-9
@@ -99,16 +109,17 @@ def search(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, d_ids: np.n
         return b + slack * (1 + np.abs(b))
 
     def take(q: np.ndarray, d: np.ndarray) -> None:
-        for lo in range(0, len(d), 4096):
-            part = d[lo : lo + 4096]
+        for lo in range(0, len(d), 2048):
+            part = d[lo : lo + 2048]
             s = _product(queries[q], data[part])
-            hit = (s >= top[q, -1][:, None]) & (d_ids[part][None, :] != q_ids[q][:, None])
-            for r in np.flatnonzero(hit.any(1)).tolist():
-                row, c = q[r], np.flatnonzero(hit[r])
-                scores, names = np.concatenate([top[row], s[r, c]]), np.concatenate([ids[row], d_ids[part][c]])
-                # the empty places come last; best first, then the smaller id
-                order = np.lexsort((names, -np.maximum(scores, none + 1), scores == none))[:k]
-                top[row], ids[row] = scores[order], names[order]
+            hit = (s >= kth[q][:, None]) & (d_ids[part][None, :] != q_ids[q][:, None])
+            some = np.flatnonzero(hit.any(1))
+            if some.size:
+                keys = np.where(hit[some], s[some] * n + (n - 1 - part)[None, :], none)
+                rows = q[some]
+                best[rows] = np.partition(np.concatenate([best[rows], keys], axis=1), -k, axis=1)[:, -k:]
+                worst = best[rows].min(1)
+                kth[rows] = np.where(worst == none, -np.inf, worst // n)
 
     def visit(q: int, nodes: np.ndarray) -> None:
         if qt.children[q]:
@@ -116,34 +127,48 @@ def search(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, d_ids: np.n
                 # data nodes wider than the query node give way to their children
                 out, todo = [], nodes.tolist()
                 while todo:
-                    n = todo.pop()
-                    if dt.children[n] and dt.radii[n] > 2 * qt.radii[child] and len(out) + len(todo) < 64:
-                        todo += dt.children[n]
+                    x = todo.pop()
+                    if dt.children[x] and dt.radii[x] > 2 * qt.radii[child] and len(out) + len(todo) < 64:
+                        todo += dt.children[x]
                     else:
-                        out.append(n)
+                        out.append(x)
                 visit(child, np.array(out))
             return
         rows = qt.points[q]
-        b = bounds(q, nodes)
-        heap = [(-x, n) for x, n in zip(b.tolist(), nodes.tolist(), strict=True)]
+        heap = [(-x, m) for x, m in zip(bounds(q, nodes).tolist(), nodes.tolist(), strict=True)]
         heapq.heapify(heap)
         while heap:
-            bound, n = heapq.heappop(heap)
-            worst = top[rows, -1].min()
-            if worst != none and -bound < worst:
+            bound, m = heapq.heappop(heap)
+            worst = kth[rows].min()
+            if -bound < worst:
                 break
-            if not dt.children[n]:
+            if not dt.children[m]:
                 # single queries may be past what the group has to look at
-                own = q_norm[rows] * (dt.norms[n] + dt.radii[n]) * (1 + slack) + slack
-                take(rows[(own >= top[rows, -1]) | (top[rows, -1] == none)], dt.points[n])
+                own = q_norm[rows] * (dt.norms[m] + dt.radii[m]) * (1 + slack) + slack
+                take(rows[own >= kth[rows]], dt.points[m])
                 continue
-            children = np.array(dt.children[n])
+            children = np.array(dt.children[m])
             for x, c in zip(bounds(q, children).tolist(), children.tolist(), strict=True):
-                if worst == none or x >= worst:
+                if x >= worst:
                     heapq.heappush(heap, (-x, c))
 
     visit(0, np.array([0]))
-    return top, ids, (top != none).sum(1)
+    best = -np.sort(-np.maximum(best, none + 1), axis=1)
+    there = best > none + 1
+    return np.where(there, best // n, 0), d_ids[np.where(there, n - 1 - best % n, 0)], there.sum(1)
+
+
+def _search_wide(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, d_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same where scores leave no room beside them: every score, row by row."""
+    top, ids, counts = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k), np.int64), np.zeros(len(queries), np.int64)
+    for r in range(len(queries)):
+        s = _product(queries[r : r + 1], data)[0]
+        other = np.flatnonzero(d_ids != q_ids[r])
+        # ids are in order, so a stable sort by falling score breaks ties by id
+        first = other[np.argsort(-s[other], kind="stable")[:k]]
+        counts[r] = len(first)
+        top[r, : len(first)], ids[r, : len(first)] = s[first], d_ids[first]
+    return top, ids, counts
 
 
 def _matrix(vectors: pd.Series, width: int, scale: float) -> np.ndarray:
@@ -153,7 +178,7 @@ def _matrix(vectors: pd.Series, width: int, scale: float) -> np.ndarray:
     return out
 
 
-def top_k(base: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, block_rows: int = 8192, group_rows: int = 1024) -> DataFrame:
+def top_k(base: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, block_rows: int = 16_384, group_rows: int = 1024) -> DataFrame:
     """``base`` and ``queries`` (vec_id, embedding) -> (query_id, rank, vec_id,
     score), the queries being rows of the base."""
 
