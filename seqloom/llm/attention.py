@@ -99,20 +99,53 @@ class Attention:
         dx += dk @ p["K"].T + dv @ p["V"].T
         np.add.at(g["E"], inputs, dx)
 
-    def log_probs(self, classes: np.ndarray, lengths: np.ndarray, start: int, step: int = 2048) -> np.ndarray:
+    def log_probs(self, classes: np.ndarray, lengths: np.ndarray, start: int, step: int = 256) -> np.ndarray:
         """Log probability of every class of the sequences laid end to end, each
-        sequence preceded by ``start``."""
+        sequence preceded by ``start``.
+
+        Inputs are classes, so what depends on one or two of them comes from
+        tables: projections of each class, and the exponential of every pair's
+        score.  ``step`` windows at a time stay in the processor's cache."""
         inputs = np.empty_like(classes)
         inputs[1:] = classes[:-1]
         inputs[np.cumsum(lengths)[lengths > 0] - lengths[lengths > 0]] = start
         at, there, scored = self.windows(lengths)
+        p, half, n = self.p, self.half, self.classes
+        pair = (p["E"] @ p["Q"]) @ (p["E"] @ p["K"]).T * np.float32(self.width**-0.5)
+        # scores have the bounds of forward(); logits need no maximum below 80
+        near = np.exp(np.clip(pair[None, :, :] + p["lag"][:, None, None], -30, 30)) if np.abs(pair).max() + np.abs(p["lag"]).max() > 30 else None
+        pair, lag = np.exp(pair).ravel() if near is None else None, np.exp(p["lag"])[self._lag] * self._causal if near is None else None
+        # a last column of ones sums the weights; one more row adds the bias
+        values, own = np.concatenate([p["E"] @ p["V"], np.ones((n, 1), np.float32)], axis=1), p["E"] @ p["X"] + p["h"]
+        output, ones = np.concatenate([p["U"], p["b"][None, :]]), np.ones(n, np.float32)
+        small = (np.abs(p["U"]).sum(0) + np.abs(p["b"])).max() < 80
         out = np.zeros(len(classes), np.float32)
         for k in range(0, len(at), step):
-            own = at[k : k + step]
-            z, _ = self.forward(inputs[own], there[k : k + step])
-            second = own[:, self.half :]
-            hit = scored[k : k + step]
-            out[second[hit]] = np.take_along_axis(z, classes[second][..., None].astype(np.int64), -1)[..., 0][hit]
+            place, real = at[k : k + step], there[k : k + step]
+            x = inputs[place].astype(np.int32)
+            if near is None:
+                a = pair.take(x[:, half:, None] * np.int32(n) + x[:, None, :])
+                a *= lag
+            else:
+                a = near[self._lag[None], x[:, half:, None], x[:, None, :]] * self._causal
+            if not real[:, :half].all() or not real[:, half:].all():
+                a *= real[:, None, :]
+            o = (a @ values.take(x, 0)).reshape(-1, self.width + 1)
+            o = o[:, :-1] / np.maximum(o[:, -1:], np.float32(1e-20))
+            h = np.ones((len(o), own.shape[1] + 1), np.float32)
+            h[:, :-1] = own.take(x[:, half:].ravel(), 0)
+            h[:, :-1] += o @ p["O"]
+            np.tanh(h[:, :-1], out=h[:, :-1])
+            z = h @ output
+            hit = scored[k : k + step].ravel()
+            second = place[:, half:].ravel()
+            chosen = z[np.arange(len(z)), classes[second]]
+            if small:
+                whole = np.log(np.exp(z, out=z) @ ones)
+            else:
+                top = z.max(1, keepdims=True)
+                whole = np.log(np.exp(z - top).sum(1)) + top[:, 0]
+            out[second[hit]] = (chosen - whole)[hit]
         return out
 
 

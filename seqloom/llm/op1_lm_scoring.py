@@ -47,6 +47,8 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 #: Stands for the end among words: no word holds a blank.
 END = b" "
 _ENCODERS: dict = {}
+#: Pieces of words that a worker has met, up to 400,000; starts anew when full.
+_PIECES: dict[bytes, list[int]] = {}
 
 
 def encoder(name: str):
@@ -58,14 +60,21 @@ def encoder(name: str):
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _PIECES.clear()
         _ENCODERS[path] = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
     encode = _ENCODERS[path].encode_ordinary
 
     def pieces(word: bytes) -> list[int]:
-        text = word.decode("utf-8", "replace")
-        if len(text) <= 32:
-            return encode(" " + text)
-        return [x for k in range(0, len(text), 32) for x in encode(" " * (k == 0) + text[k : k + 32])]
+        got = _PIECES.get(word)
+        if got is None:
+            text = word.decode("utf-8", "replace")
+            if len(text) > 32:
+                return [x for k in range(0, len(text), 32) for x in encode(" " * (k == 0) + text[k : k + 32])]
+            got = encode(" " + text)
+            if len(_PIECES) >= 400_000:
+                _PIECES.clear()
+            _PIECES[word] = got
+        return got
 
     return pieces
 
