@@ -34,3 +34,40 @@ def test_every_stage_does_its_part(spark):
             assert out.columns == docs.columns
             held = out
     assert corpus_pipeline.run(spark, sf_dir).count() == written(corpus_pipeline.mixture(spark, held, sf_dir), "again").count()
+
+
+def _folder(spark, tmp_path, docs, items):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def _stages(spark, sf_dir):
+    held = table(spark, sf_dir, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        held = written(stage(spark, held, sf_dir), f"test-{name}")
+        yield name, held
+
+
+def test_stages_stand_hard_rows_and_clashing_columns(spark, frame, hard, tmp_path):
+    text = "the quick brown fox jumps over the lazy dog and runs far away from here password=hunter22"
+    docs = frame([*hard, (7, text, "s", "en"), (8, text, "t", "en"), (9, "where is the fox and what does the dog see in the long field today? it sees nothing", None, "en")])
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    sf_dir = _folder(spark, tmp_path, docs, [(1, "where is the fox and what does the dog see in the long field today? it sees nothing"), (2, None), (None, "")])
+    for name, out in _stages(spark, sf_dir):
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        if name == "mixture":
+            assert set(ids) <= {1, 4, 5, 7, None}
+            continue
+        assert out.columns == docs.columns and 7 in ids
+        assert (name == "language") == (8 in ids) and (name in ("language", "near_duplicates")) == (9 in ids)
+        if name == "secrets":
+            row = out.where("doc_id = 7").first()
+            assert "[SECRET]" in row.text and "hunter22" not in row.text and row.n_chars == len(row.text) and row.host == "x"
+
+
+def test_stages_stand_empty_tables(spark, frame, tmp_path):
+    docs = frame([]).withColumn("n_chars", F.lit(0).cast("long"))
+    sf_dir = _folder(spark, tmp_path, docs, [])
+    assert [out.count() for _, out in _stages(spark, sf_dir)] == [0] * len(corpus_pipeline.STAGES)
+    assert corpus_pipeline.run(spark, sf_dir).count() == 0
