@@ -70,7 +70,9 @@ def shingles(words: list[bytes], n: int = 5) -> set[tuple[bytes, ...]]:
 class Index:
     """Inverted index of the items' BM25 weights."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n_items: int, mean_len: float, block: int = 4, posting_block: int = 8):
+    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n_items: int, mean_len: float, block: int = 4, posting_block: int = 8, most_blocks: int = 256):
+        # a table of terms by blocks: larger blocks keep its size in proportion to the items
+        block = max(block, -(-len(items) // most_blocks))
         self.ids = [i for i, _ in items]
         self.parts = [parts_of(t) for _, t in items]
         words = [q + a for q, a in self.parts]
@@ -155,8 +157,18 @@ class Index:
         both = Counter(answer) & Counter(words)
         return q, sum(both.values()) / len(answer) if answer else 1.0
 
-    def leaks(self, texts: list[str | None], threshold: float, similarity: float) -> list[tuple[int, int, int, float, float, float]]:
-        """(text, item, passage, score, question and answer overlap)."""
+    def leaks(self, texts: list[str | None], threshold: float, similarity: float, at_once: int = 1 << 22) -> Iterator[tuple[int, int, int, float, float, float]]:
+        """(text, item, passage, score, question and answer overlap); ``at_once``
+        code points of texts, or one text, are held as words."""
+        lo = held = 0
+        for k, t in enumerate(texts):
+            if k > lo and held + len(t or "") > at_once:
+                yield from ((lo + x[0], *x[1:]) for x in self._leaks(texts[lo:k], threshold, similarity))
+                lo, held = k, 0
+            held += len(t or "")
+        yield from ((lo + x[0], *x[1:]) for x in self._leaks(texts[lo:], threshold, similarity))
+
+    def _leaks(self, texts: list[str | None], threshold: float, similarity: float) -> list[tuple[int, int, int, float, float, float]]:
         cell = max(64, self.longest + self.longest // 4)
         words = [words_of(t) for t in texts]
         get, found = self.term.get, []
@@ -168,14 +180,18 @@ class Index:
         if not len(pairs):
             return []
         of, term = np.divmod(pairs, len(self.term))
-        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        bounds = np.zeros((int(first[-1]) + 1, self.upper.shape[1]), np.float32)
-        step = 4096  # cells whose terms are gathered at once
-        for k in range(0, len(starts), step):
-            lo, hi = starts[k], starts[k + step] if k + step < len(starts) else len(pairs)
-            bounds[of[starts[k : k + step]]] = np.add.reduceat(self.upper[term[lo:hi]], starts[k : k + step] - lo, axis=0)
         # a passage is a cell and the next; past a text's last cell the bound is only larger
-        hot = np.flatnonzero((bounds[:-1] + bounds[1:]).max(axis=1) >= threshold - 1e-4)
+        blocks, hot = self.upper.shape[1], []
+        step = max(64, (1 << 18) // blocks)  # cells whose terms are gathered at once
+        for c in range(0, int(first[-1]), step):
+            lo, hi = np.searchsorted(of, [c, c + step + 1])
+            if lo < hi:
+                here, bounds = of[lo:hi] - c, np.zeros((step + 1, blocks), np.float32)
+                starts = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
+                bounds[here[starts]] = np.add.reduceat(self.upper[term[lo:hi]], starts, axis=0)
+                hot.append(c + np.flatnonzero((bounds[:-1] + bounds[1:]).max(axis=1) >= threshold - 1e-4))
+        hot = np.concatenate(hot)
+        hot = hot[hot < first[-1]]
         for c in hot.tolist():
             k = int(np.searchsorted(first, c, "right")) - 1
             p = c - int(first[k])
@@ -192,7 +208,7 @@ class Index:
         return found
 
 
-def indexes(benchmark: DataFrame, shard_bytes: int = 32 << 20) -> list[Index]:
+def indexes(benchmark: DataFrame, shard_bytes: int = 8 << 20) -> list[Index]:
     """An index for each shard of the items."""
     items = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -219,7 +235,7 @@ def indexes(benchmark: DataFrame, shard_bytes: int = 32 << 20) -> list[Index]:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, similarity: float = 0.8, shard_bytes: int = 32 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, similarity: float = 0.8, shard_bytes: int = 8 << 20) -> DataFrame:
     """One row for each document and item that it leaks: doc_id, item_id, the
     first passage, the best score and overlaps."""
     sc, kind = docs.sparkSession.sparkContext, docs.schema["doc_id"].dataType.simpleString()
@@ -245,7 +261,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, si
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, similarity: float = 0.8, shard_bytes: int = 32 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, similarity: float = 0.8, shard_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` without those that leak an item.  Rows pass through the search,
     so nothing is shuffled."""
     at = docs.columns.index("text")
