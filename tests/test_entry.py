@@ -33,3 +33,15 @@ def test_nothing_outside_imports_the_operators():
                 if name.endswith(".py"):
                     with open(os.path.join(folder, name), encoding="utf-8") as f:
                         assert "seqloom.llm" not in f.read()
+
+
+def test_workers_find_the_packages_from_any_folder(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+assert e.queries()["hmm_posterior"](spark, "/root/testdata/sf0.001").count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
