@@ -68,16 +68,17 @@ class Attention:
         z = h @ p["U"] + p["b"]
         z -= z.max(-1, keepdims=True)
         e = np.exp(z)
-        z -= np.log(e.sum(-1, keepdims=True))
-        return z, (inputs, x, xq, q, k, v, a, o, h, e)
+        whole = e.sum(-1)
+        z -= np.log(whole)[..., None]
+        return z, (inputs, x, xq, q, k, v, a, o, h, e, whole)
 
     def backward(self, targets: np.ndarray, scored: np.ndarray, state: tuple) -> None:
-        """Adds the gradient of the mean loss to ``grad``."""
-        inputs, x, xq, q, k, v, a, o, h, e = state
+        """Adds the gradient of the mean loss to ``grad``; the state is used up."""
+        inputs, x, xq, q, k, v, a, o, h, dz, whole = state
         p, g, half, scale = self.p, self.g, self.half, np.float32(self.width**-0.5)
-        dz = e / e.sum(-1, keepdims=True)
-        np.put_along_axis(dz, targets[..., None], np.take_along_axis(dz, targets[..., None], -1) - 1, -1)
-        dz *= (scored / max(1, scored.sum()))[..., None].astype(np.float32)
+        counts = (scored / max(1, scored.sum())).astype(np.float32)
+        dz *= (counts / whole)[..., None]
+        dz.reshape(-1)[np.arange(targets.size) * self.classes + targets.ravel()] -= counts.ravel()
         flat = lambda t: t.reshape(-1, t.shape[-1])
         g["U"] += flat(h).T @ flat(dz)
         g["b"] += flat(dz).sum(0)
@@ -90,7 +91,7 @@ class Attention:
         do = d @ p["O"].T
         dv, da = a.transpose(0, 2, 1) @ do, do @ v.transpose(0, 2, 1)
         ds = a * (da - (da * a).sum(-1, keepdims=True))
-        np.add.at(g["lag"], self._lag[self._causal], ds.sum(0)[self._causal])
+        g["lag"] += np.bincount(self._lag[self._causal], ds.sum(0)[self._causal], 2 * half)
         dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
         g["Q"] += flat(xq).T @ flat(dq)
         g["K"] += flat(x).T @ flat(dk)
@@ -99,53 +100,67 @@ class Attention:
         dx += dk @ p["K"].T + dv @ p["V"].T
         np.add.at(g["E"], inputs, dx)
 
-    def log_probs(self, classes: np.ndarray, lengths: np.ndarray, start: int, step: int = 256) -> np.ndarray:
+    def log_probs(self, classes: np.ndarray, lengths: np.ndarray, start: int, step: int = 192) -> np.ndarray:
         """Log probability of every class of the sequences laid end to end, each
         sequence preceded by ``start``.
 
         Inputs are classes, so what depends on one or two of them comes from
         tables: projections of each class, and the exponential of every pair's
         score.  ``step`` windows at a time stay in the processor's cache."""
-        inputs = np.empty_like(classes)
-        inputs[1:] = classes[:-1]
-        inputs[np.cumsum(lengths)[lengths > 0] - lengths[lengths > 0]] = start
-        at, there, scored = self.windows(lengths)
         p, half, n = self.p, self.half, self.classes
-        pair = (p["E"] @ p["Q"]) @ (p["E"] @ p["K"]).T * np.float32(self.width**-0.5)
+        lengths = lengths[lengths > 0]
+        per, first = -(-lengths // half), np.cumsum(lengths) - lengths
+        of = np.repeat(np.arange(len(lengths)), per)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
+        # a window's first input; a sequence's first window has no left half.  Past a
+        # sequence's end stands what follows, which no scored place can see.
+        begin, lone, left = first[of] + k * half, k == 0, (lengths[of] - k * half)[:, None] > np.arange(half)
+        inputs = np.full(len(classes) + 3 * half, start, np.intp)
+        inputs[half + 1 : half + len(classes)] = classes[:-1]
+        inputs[half + first] = start
+        targets = np.zeros(len(classes) + half, np.intp)
+        targets[: len(classes)] = classes
         # scores have the bounds of forward(); logits need no maximum below 80
-        near = np.exp(np.clip(pair[None, :, :] + p["lag"][:, None, None], -30, 30)) if np.abs(pair).max() + np.abs(p["lag"]).max() > 30 else None
-        pair, lag = np.exp(pair).ravel() if near is None else None, np.exp(p["lag"])[self._lag] * self._causal if near is None else None
-        # a last column of ones sums the weights; one more row adds the bias
-        values, own = np.concatenate([p["E"] @ p["V"], np.ones((n, 1), np.float32)], axis=1), p["E"] @ p["X"] + p["h"]
-        output, ones = np.concatenate([p["U"], p["b"][None, :]]), np.ones(n, np.float32)
+        pair = (p["E"] @ p["Q"]) @ (p["E"] @ p["K"]).T * np.float32(self.width**-0.5)
+        wide = np.abs(pair).max() + np.abs(p["lag"]).max() > 30
+        near = np.exp(np.clip(pair[None, :, :] + p["lag"][:, None, None], -30, 30)) if wide else None
+        pair, lag = np.exp(np.minimum(pair, 30)).ravel(), np.exp(np.minimum(p["lag"], 30))[self._lag] * self._causal
+        values, own = p["E"] @ p["V"] @ p["O"], p["E"] @ p["X"] + p["h"]
+        bias, ones = np.exp(np.minimum(p["b"], 80)), np.ones(2 * half, np.float32)
         small = (np.abs(p["U"]).sum(0) + np.abs(p["b"])).max() < 80
-        out = np.zeros(len(classes), np.float32)
-        for k in range(0, len(at), step):
-            place, real = at[k : k + step], there[k : k + step]
-            x = inputs[place].astype(np.int32)
+        span, out, at = np.arange(2 * half), np.empty(len(classes), np.float32), 0
+        # windows stand last where pairs are scored, so that every step runs over long rows
+        begin, lag = begin.astype(np.intp), lag[:, :, None]
+        for lo in range(0, len(of), step):
+            start_of = begin[lo : lo + step]
+            m = len(start_of)
+            x = inputs.take(span[:, None] + start_of)
             if near is None:
-                a = pair.take(x[:, half:, None] * np.int32(n) + x[:, None, :])
+                a = pair.take((x[half:] * n)[:, None, :] + x[None, :, :])
                 a *= lag
             else:
-                a = near[self._lag[None], x[:, half:, None], x[:, None, :]] * self._causal
-            if not real[:, :half].all() or not real[:, half:].all():
-                a *= real[:, None, :]
-            o = (a @ values.take(x, 0)).reshape(-1, self.width + 1)
-            o = o[:, :-1] / np.maximum(o[:, -1:], np.float32(1e-20))
-            h = np.ones((len(o), own.shape[1] + 1), np.float32)
-            h[:, :-1] = own.take(x[:, half:].ravel(), 0)
-            h[:, :-1] += o @ p["O"]
-            np.tanh(h[:, :-1], out=h[:, :-1])
-            z = h @ output
-            hit = scored[k : k + step].ravel()
-            second = place[:, half:].ravel()
-            chosen = z[np.arange(len(z)), classes[second]]
+                a = near[self._lag[:, :, None], x[half:, None, :], x[None, :, :]] * self._causal[:, :, None]
+            a[:, :half, np.flatnonzero(lone[lo : lo + step])] = 0
+            # queries of a window are one product: (windows, half, 2 half) by (windows, 2 half, hidden)
+            a = np.ascontiguousarray(a.transpose(2, 0, 1))
+            total = a.reshape(-1, 2 * half) @ ones
+            x = np.ascontiguousarray(x.T)
+            h = (a @ values.take(x, 0)).reshape(m * half, -1)
+            h /= np.maximum(total, np.float32(1e-20))[:, None]
+            h += own.take(x[:, half:].ravel(), 0)
+            z = np.tanh(h, out=h) @ p["U"]
+            target = targets.take((start_of[:, None] + span[:half]).ravel())
+            chosen = z.ravel().take(np.arange(m * half) * n + target) + p["b"].take(target)
             if small:
-                whole = np.log(np.exp(z, out=z) @ ones)
+                chosen -= np.log(np.exp(z, out=z) @ bias)
             else:
-                top = z.max(1, keepdims=True)
-                whole = np.log(np.exp(z - top).sum(1)) + top[:, 0]
-            out[second[hit]] = (chosen - whole)[hit]
+                z += p["b"]
+                top = z.max(1)
+                z -= top[:, None]
+                chosen -= np.log(np.exp(z, out=z).sum(1)) + top
+            hit = chosen[left[lo : lo + step].ravel()]
+            out[at : at + len(hit)] = hit
+            at += len(hit)
         return out
 
 

@@ -9,6 +9,8 @@ A text is its lower-cased words and one end.  The model mixes, word by word,
   it, by causal self-attention, times the piece's share of its class, again
   counted over the whole training part.
 
+The weights of the two are those that suit further spans of the training part
+best, each word's own occurrence left out of its count.
 So frequent words keep their counts and unseen words still get what their pieces
 and context say.  Pieces are put in classes by where they stand.  The attention
 model is trained in numpy on the executors: every task takes a fixed fraction of
@@ -31,7 +33,8 @@ from __future__ import annotations
 import base64
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +50,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 #: Stands for the end among words: no word holds a blank.
 END = b" "
 _ENCODERS: dict = {}
-#: Pieces of words that a worker has met, up to 400,000; starts anew when full.
+#: Pieces of words that a worker has met, up to 200,000; starts anew when full.
 _PIECES: dict[bytes, list[int]] = {}
 
 
@@ -71,7 +74,7 @@ def encoder(name: str):
             if len(text) > 32:
                 return [x for k in range(0, len(text), 32) for x in encode(" " * (k == 0) + text[k : k + 32])]
             got = encode(" " + text)
-            if len(_PIECES) >= 400_000:
+            if len(_PIECES) >= 200_000:
                 _PIECES.clear()
             _PIECES[word] = got
         return got
@@ -130,15 +133,22 @@ def piece_counts(counts: DataFrame, name: str, size: int) -> np.ndarray:
     return out
 
 
-def _spans(batches: Iterator[pa.RecordBatch], encode, end: int, rate: int, turn: int, span: int) -> Iterator[np.ndarray]:
-    """Pieces of one in ``rate`` of the word spans of every text, its end with its
-    last span."""
+def _word_spans(batches: Iterator[pa.RecordBatch], rate: int, turn: int, span: int) -> Iterator[list[bytes]]:
+    """One in ``rate`` of the word spans of every text, its end with its last span."""
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            k = zlib.crc32(f"{i} {turn}".encode()) % rate
+            if k and 2 * k * span > len(t or b"") + 1:
+                continue  # too short for so many words, each with a blank
             ws = words_of(t)
             last = max(1, -(-len(ws) // span)) - 1
-            for k in range(zlib.crc32(f"{i} {turn}".encode()) % rate, last + 1, rate):
-                yield np.array([x for w in ws[k * span : (k + 1) * span] for x in encode(w)] + [end] * (k == last), np.int64)
+            for k in range(k, last + 1, rate):
+                yield ws[k * span : (k + 1) * span] + [END] * (k == last)
+
+
+def _spans(batches: Iterator[pa.RecordBatch], encode, end: int, rate: int, turn: int, span: int) -> Iterator[np.ndarray]:
+    for ws in _word_spans(batches, rate, turn, span):
+        yield np.array([x for w in ws for x in ([end] if w == END else encode(w))], np.int64)
 
 
 def profiles(docs: DataFrame, name: str, counts: np.ndarray, rate: int, around: int = 32, span: int = 32) -> np.ndarray:
@@ -197,6 +207,47 @@ class Pieces:
         self.log_share = np.log(smoothed / self.mass[self.of])
 
 
+class Words:
+    """Numbers for words and, by number, their pieces' classes, the sum of their
+    pieces' log shares and their count if they are known (-1 if not).  Starts anew
+    when ``cached`` words or 16 MB of them are held."""
+
+    def __init__(self, encode, of: np.ndarray, log_share: np.ndarray, counts: dict[bytes, int], cached: int):
+        self.encode, self.of, self.log_share, self.counts, self.cached = encode, of, log_share, counts, cached
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.held, self.share, self.known = 0, np.zeros(0), np.zeros(0, np.int64)
+        self.pieces, self.ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self.index) >= self.cached or self.held >= 1 << 24:
+            self._clear()
+        index = self.index
+        out = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+        new = dict.fromkeys(words[k] for k in np.flatnonzero(out < 0).tolist())
+        if new:
+            ids = [np.array([len(self.of) - 1] if w == END else self.encode(w)) for w in new]
+            lengths, flat, at = np.array([len(x) for x in ids]), np.concatenate(ids), len(index)
+            self.share = np.r_[self.share, np.add.reduceat(self.log_share[flat], np.cumsum(lengths) - lengths)]
+            self.known = np.r_[self.known, [self.counts.get(w, -1) for w in new]]
+            self.pieces = np.r_[self.pieces, self.of[flat]]
+            self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(lengths)]
+            for k, w in enumerate(new):
+                index[w] = at + k
+            self.held += sum(map(len, new))
+            gone = np.flatnonzero(out < 0)
+            out[gone] = [index[words[k]] for k in gone.tolist()]
+        return out
+
+    def pieces_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' classes of words one after the other, and how many each has."""
+        lengths = self.ends[numbers + 1] - self.ends[numbers]
+        shift = self.ends[numbers] - (np.cumsum(lengths) - lengths)
+        return self.pieces[np.repeat(shift, lengths) + np.arange(lengths.sum())], lengths
+
+
 def train(docs: DataFrame, name: str, pieces: Pieces, classes: int, rounds: int, rate: int, span: int = 32) -> np.ndarray:
     """Parameters averaged over the tasks, weighted by the windows they saw; every
     task takes one in ``rate`` of the spans of each text."""
@@ -246,7 +297,40 @@ def train(docs: DataFrame, name: str, pieces: Pieces, classes: int, rounds: int,
     return theta
 
 
-def score(docs: DataFrame, vocabulary: str = VOCABULARY, classes: int = 96, own: int = 32, hot: int = 65_536, rounds: int = 2, rate: int = 16, word_share: float = 0.5, cached: int = 200_000) -> DataFrame:
+def weigh(docs: DataFrame, words: Callable[[], Words], model: Callable[[], Attention], per: float, floor: float, rare: float, rate: int, turn: int, span: int = 32) -> float:
+    """The weight of a word's share that suits one in ``rate`` spans of the training
+    part best, each word's own occurrence left out of its count (``rare`` where
+    the count isn't at hand)."""
+    grid = np.linspace(0.05, 0.95, 19)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, attention, sums, held = words(), model(), np.zeros(len(grid)), []
+
+        def add() -> None:
+            nonlocal sums
+            w = known.numbers(list(chain.from_iterable(held)))
+            flat, n = known.pieces_of(w)
+            of_span = np.add.reduceat(n, np.cumsum([len(x) for x in held]) - [len(x) for x in held])
+            p = np.exp(np.add.reduceat(attention.log_probs(flat, of_span, int(known.of[-1])), np.cumsum(n) - n, dtype=float) + known.share[w])
+            c = known.known[w]
+            base = np.maximum(np.where(c > 0, c, rare) - 1, 0) * per + floor
+            sums = sums + np.array([np.log(x * base + (1 - x) * p).sum() for x in grid])
+            held.clear()
+
+        for ws in _word_spans(batches, rate, turn, span):
+            if ws:
+                held.append(ws)
+            if len(held) >= 512:
+                add()
+        if held:
+            add()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(sums)], ["at", "x"])
+
+    rows = _training(docs).mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).where("x < 0").collect()
+    return float(grid[max(rows, key=lambda r: r.x).at]) if rows else 0.5
+
+
+def score(docs: DataFrame, vocabulary: str = VOCABULARY, classes: int = 96, own: int = 32, hot: int = 131_072, rounds: int = 2, rate: int = 16, word_share: float | None = None, cached: int = 200_000) -> DataFrame:
     """One row a document; see the module's text."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -263,39 +347,39 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, classes: int = 96, own:
     shared = spark.sparkContext.broadcast((theta, pieces.of, pieces.log_share, {r.word.encode(): r.n for r in frequent}))
     floor = 0.1 / (total + 0.1 * (distinct + 1))
     per = 1.0 / (total + 0.1 * (distinct + 1))
+
+    def words() -> Words:
+        _, of, log_share, known = shared.value
+        return Words(encoder(name), of, log_share, known, cached)
+
+    def model() -> Attention:
+        return Attention(classes, theta=shared.value[0])
+
+    if word_share is None:
+        rare = (total - sum(r.n for r in frequent)) / max(1, distinct - len(frequent))
+        word_share = weigh(docs, words, model, per, floor, rare, 4 * rate, rounds)
     schema = f"uid long, word string, p double, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        theta, of, log_share, known = shared.value
-        model, encode = Attention(classes, theta=theta), encoder(name)
-        end = len(of) - 1
-        cache: dict[bytes, tuple[bytes, float, int]] = {}
-
-        def word(w: bytes) -> tuple[bytes, float, int]:
-            ids = np.array([end] if w == END else encode(w))
-            got = (of[ids].tobytes(), float(log_share[ids].sum()), known.get(w, -1))
-            if len(w) <= 64:
-                if len(cache) >= cached:
-                    cache.clear()
-                cache[w] = got
-            return got
+        known, attention = words(), model()
 
         def rows(uids, ids, held, texts) -> pa.RecordBatch:
-            ws = [[*words_of(t), END] for t in texts]
-            entries = [cache.get(w) or word(w) for d in ws for w in d]
-            per_doc = np.array([len(d) for d in ws])
+            docs = [[*words_of(t), END] for t in texts]
+            every = list(chain.from_iterable(docs))
+            w = known.numbers(every)
+            per_doc = np.array([len(d) for d in docs])
             first = np.cumsum(per_doc) - per_doc
-            n_pieces = np.array([len(e[0]) for e in entries])
-            flat = np.frombuffer(b"".join([e[0] for e in entries]), np.uint8)
-            lp = model.log_probs(flat, np.add.reduceat(n_pieces, first), int(of[end]))
-            p = np.exp(np.add.reduceat(lp.astype(float), np.cumsum(n_pieces) - n_pieces) + [e[1] for e in entries])
-            n = np.array([e[2] for e in entries])
-            there, doc = n >= 0, np.repeat(np.arange(len(ws)), per_doc)
-            base = np.where(there, np.log10(np.maximum(n, 0) * per + floor), 0)
-            own = np.where(there, np.log10(word_share * (np.maximum(n, 0) * per + floor) + (1 - word_share) * p), 0)
+            flat, n_pieces = known.pieces_of(w)
+            begin = np.cumsum(n_pieces) - n_pieces
+            lp = attention.log_probs(flat, np.add.reduceat(n_pieces, first), int(known.of[-1]))
+            p = np.exp(np.add.reduceat(lp, begin, dtype=float) + known.share[w])
+            n = known.known[w]
+            there = n >= 0
+            share = np.maximum(n, 0) * per + floor
+            base = np.where(there, np.log10(share), 0)
+            own = np.where(there, np.log10(word_share * share + (1 - word_share) * p), 0)
             cold = np.flatnonzero(~there)
-            every = [w for d in ws for w in d]
-            m, c = len(ws), len(cold)
+            m, c, doc = len(docs), len(cold), np.repeat(np.arange(len(docs)), per_doc)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([uids, uids.take(pa.array(doc[cold]))]),
@@ -304,9 +388,9 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, classes: int = 96, own:
                     pa.concat_arrays([ids, pa.nulls(c, ids.type)]),
                     pa.concat_arrays([held, pa.nulls(c, pa.bool_())]),
                     pa.array([*per_doc.tolist(), *[None] * c], pa.int64()),
-                    pa.array(np.r_[np.bincount(doc[there], minlength=m), np.zeros(c, np.int64)].astype(np.int64)),
-                    pa.array(np.r_[np.bincount(doc, base, m), np.zeros(c)]),
-                    pa.array(np.r_[np.bincount(doc, own, m), np.zeros(c)]),
+                    pa.array(np.r_[np.add.reduceat(there.astype(np.int64), first), np.zeros(c, np.int64)]),
+                    pa.array(np.r_[np.add.reduceat(base, first), np.zeros(c)]),
+                    pa.array(np.r_[np.add.reduceat(own, first), np.zeros(c)]),
                 ],
                 schema=out,
             )

@@ -47,7 +47,7 @@ def test_base_score_and_a_better_model(spark):
 
 
 def test_how_many_words_are_hot_changes_nothing(spark, frame, hard):
-    got = [sorted((r.doc_id or -1, r.n_tokens, round(r.base_score, 6), round(r.score, 5)) for r in op.score(frame(hard), hot=h).collect()) for h in (0, 3, 1000)]
+    got = [sorted((r.doc_id or -1, r.n_tokens, round(r.base_score, 6), round(r.score, 5)) for r in op.score(frame(hard), hot=h, word_share=0.4).collect()) for h in (0, 3, 1000)]
     assert got[0] == got[1] == got[2]
     same(op.score(frame(hard)).collect(), brute([r[:2] for r in hard]))
     assert op.score(frame([])).count() == 0
