@@ -35,7 +35,7 @@ from seqloom.llm.common import table, written
 from seqloom.llm.components import components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Hashes whose bits are counted at once.
+#: Shingles that are hashed, and lanes that are compared, at once.
 _STEP = 1 << 16
 
 
@@ -45,18 +45,13 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     words = text.translate(_LOWER).split()
     if not words:
         return 0
-    if len(words) < shingle:
-        return _majority(np.array([xxh64_intdigest(b" ".join(words), 42)], np.uint64))
-    join = b" ".join
-    hashes = [xxh64_intdigest(join(x), 42) for x in zip(*(words[k:] for k in range(shingle)), strict=False)]
-    return _majority(np.array(hashes, np.uint64))
-
-
-def _majority(h: np.ndarray) -> int:
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(h), _STEP):
-        ones += np.unpackbits(h[k : k + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+    n, join, ones = max(1, len(words) - shingle + 1), b" ".join, np.zeros(64, np.int64)
+    for k in range(0, n, _STEP):
+        part = words[k : k + _STEP + shingle - 1]
+        grams = zip(*(part[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [part]
+        h = np.array([xxh64_intdigest(join(x), 42) for x in grams], np.uint64)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
