@@ -8,8 +8,7 @@ Three strong kinds are reported wherever they match:
 * ``hex``     24 or more lower-case hexadecimal digits.
 
 Three weak kinds are reported only where complementary parts stand within
-``window`` code points in the same paragraph (no empty line in between is
-required; the window is the scope):
+``window`` code points, which is their scope:
 
 * ``ident``     an account, user or client id with a value: with a secret;
 * ``blob``      a mixed run of 32 or more base64 characters: with an identifier;
@@ -17,7 +16,8 @@ required; the window is the scope):
 
 Identifiers are ``access`` and ``ident``; secrets are ``assign``, ``hex`` and
 ``blob``.  All parts of a document stand in its own row, so the interval join
-runs inside the row and nothing is shuffled.
+runs inside the row and nothing is shuffled: two sweeps over the sorted spans, in
+time linear in their number, however many a text has.
 
 Nulls: a null text is an empty text and has no spans; a null id is kept.
 Repeated rows and ties each give a row of their own.  An empty table gives an
@@ -27,6 +27,8 @@ clash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +60,10 @@ PATTERNS = (ASSIGN, ACCESS, HEX, IDENT, BLOB, ENDPOINT)
 #: Least length of the second group.
 LEAST = (6, 19, 24, 3, 32, 7)
 
-_SPAN = "array<struct<s:int,k:int,e:int>>"
+#: Start, kind, end in code points; start and end in bytes.
+_SPAN = "struct<s:int,k:int,e:int,b:int,c:int>"
+#: Beyond any place in a text.
+_LOW, _HIGH = -1_000_000_000, 2_000_000_000
 
 
 def _mixed(m: str) -> str:
@@ -70,52 +75,62 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans_of(k: int) -> Column:
-    """Kind ``k``'s spans: running sums over the lengths of what lies between
-    the matches and of the matches themselves, in code points."""
-    keep = f"length(v[i - 1]) >= {LEAST[k]}" + (f" and {_mixed('m[i - 1]')}" if KINDS[k] == "blob" else "")
-    body = f"""
-      aggregate(sequence(1, size(m)), named_struct('p', 0, 'o', cast(array() as {_SPAN})),
-        (a, i) -> named_struct(
-          'p', a.p + length(g[i - 1]) + length(m[i - 1]),
-          'o', if({keep}, array_append(a.o, named_struct('s', a.p + length(g[i - 1]), 'k', {k}, 'e', a.p + length(g[i - 1]) + length(m[i - 1]))), a.o)),
-        a -> a.o)"""
-    for name in ("m", "v", "g"):
-        body = body.replace(f"{name}[i", f"s5_{name}{k}[i").replace(f"size({name})", f"size(s5_{name}{k})")
-    return F.expr(f"if(size(s5_m{k}) = 0, cast(array() as {_SPAN}), {body})")
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
 
+def _scan(values: str, kind: str, zero: str, joined: Callable[[str, str], str], chunk: int = 256) -> str:
+    """An array's running sums under ``joined``.  A list grows by copying, so sums
+    run within chunks, then over the chunks' last ones: the work is that of a
+    chunk for each element, not that of the array."""
+    start = f"named_struct('p', {zero}, 'o', cast(array() as array<{kind}>))"
+    step = _let("r", joined("a.p", "x"), "named_struct('p', r, 'o', array_append(a.o, r))")
+    runs = f"""if(size(vs) = 0, cast(array() as array<array<{kind}>>), transform(sequence(0, cast((size(vs) - 1) div {chunk} as int)),
+        n -> aggregate(slice(vs, n * {chunk} + 1, {chunk}), {start}, (a, x) -> {step}, a -> a.o)))"""
+    before = f"aggregate(runs, {start}, (a, x) -> named_struct('p', {joined('a.p', 'element_at(x, -1)')}, 'o', array_append(a.o, a.p)), a -> a.o)"
+    return _let("vs", values, _let("runs", runs, f"flatten(zip_with(runs, {before}, (run, z) -> transform(run, x -> {joined('z', 'x')})))"))
 
-def _has(kinds: tuple[int, ...], window: int) -> str:
-    """A part of one of ``kinds`` lies within the window of x (and isn't x)."""
-    test = f"y.k in ({', '.join(map(str, kinds))})"
-    return f"exists(s5_all, y -> {test} and y.s <= x.e + {window} and y.e >= x.s - {window} and not (y.s = x.s and y.k = x.k))"
+
+def _fields(names: str, value: Callable[[str], str]) -> str:
+    return "named_struct(" + ", ".join(f"'{n}', {value(n)}" for n in names) + ")"
+
+
+def _spans_of(k: int) -> str:
+    """Kind ``k``'s spans: running sums over the lengths of what lies between
+    the matches and of the matches themselves."""
+    q = _quoted(PATTERNS[k])
+    keep = f"length(v[i]) >= {LEAST[k]}" + (f" and {_mixed('m[i]')}" if KINDS[k] == "blob" else "")
+    ends = _scan("transform(m, (x, i) -> named_struct('e', length(g[i]) + length(x), 'c', octet_length(g[i]) + octet_length(x)))", "struct<e:int,c:int>", "named_struct('e', 0, 'c', 0)", lambda a, x: _fields("ec", lambda n: f"{a}.{n} + {x}.{n}"))
+    span = f"named_struct('s', x.e - length(m[i]), 'k', {k}, 'e', x.e, 'b', x.c - octet_length(m[i]), 'c', x.c)"
+    found = f"filter(transform({ends}, (x, i) -> if({keep}, {span}, cast(null as {_SPAN}))), x -> x is not null)"
+    body = _let("m", f"regexp_extract_all(s5_text, {q}, 0)", _let("v", f"regexp_extract_all(s5_text, {q}, 2)", _let("g", f"split(s5_text, {q}, -1)", found)))
+    return f"if(s5_text rlike {q}, {body}, cast(array() as array<{_SPAN}>))"
+
+
+def _linked(window: int) -> str:
+    """The spans of ``every`` (sorted by start) that stand: weak ones need their
+    complements within the window.  A part before x is near if the furthest end so
+    far is, one after it if the next start is, so two sweeps find all links."""
+    ident, secret = "x.k in (1, 3)", "x.k in (0, 2, 4)"
+    furthest = _scan(f"transform(every, x -> if(x.k < {BASE}, x.e, {_LOW}))", "int", str(_LOW), lambda a, x: f"greatest({a}, {x})")
+    # a weak part that a strong one covers says nothing new
+    kept = _let("far", furthest, f"filter(every, (x, i) -> x.k < {BASE} or far[i] < x.e)")
+    sides = "struct<i:int,c:int>"
+    sweep = lambda order, far, place, pick: _scan(f"transform({order}, x -> named_struct('i', if({ident}, {place}, {far}), 'c', if({secret}, {place}, {far})))", sides, f"named_struct('i', {far}, 'c', {far})", lambda a, x: _fields("ic", lambda n: f"{pick}({a}.{n}, {x}.{n})"))
+    near = lambda n: f"(past[i].{n} >= x.s - {window} or next[i].{n} <= x.e + {window})"
+    test = f"case x.k when 3 then {near('c')} when 4 then {near('i')} when 5 then {near('i')} and {near('c')} else true end"
+    return _let("kept", kept, _let("past", sweep("kept", _LOW, "x.e", "greatest"), _let("next", f"reverse({sweep('reverse(kept)', _HIGH, 'x.s', 'least')})", f"filter(kept, (x, i) -> {test})")))
 
 
 def find_spans(docs: DataFrame, window: int = 300, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``'s columns, ``s5_text`` and ``s5_spans``: array of
-    (s, k, e), start and end in code points, k an index of KINDS."""
+    (s, k, e, b, c), start and end in code points and in bytes, k an index of
+    KINDS."""
     df = docs.select(*keep, text_of().alias("s5_text"))
-    found = []
-    for k, pattern in enumerate(PATTERNS):
-        q = _quoted(pattern)
-        found += [
-            F.expr(f"if(s5_text rlike {q}, regexp_extract_all(s5_text, {q}, 0), cast(array() as array<string>))").alias(f"s5_m{k}"),
-            F.expr(f"if(s5_text rlike {q}, regexp_extract_all(s5_text, {q}, 2), cast(array() as array<string>))").alias(f"s5_v{k}"),
-            F.expr(f"if(s5_text rlike {q}, split(s5_text, {q}, -1), cast(array() as array<string>))").alias(f"s5_g{k}"),
-        ]
-    df = df.select("*", *found)
-    df = df.select(*keep, "s5_text", *[_spans_of(k).alias(f"s5_k{k}") for k in range(len(KINDS))])
-    strong = "concat(s5_k0, s5_k1, s5_k2)"
-    # a weak part that a strong one covers says nothing new
-    inside = f"exists({strong}, y -> y.s <= x.s and y.e >= x.e)"
-    weak = f"filter(concat(s5_k3, s5_k4, s5_k5), x -> not {inside})"
-    df = df.select(*keep, "s5_text", F.expr(f"array_sort(concat({strong}, {weak}))").alias("s5_all"))
-    ident, secret = (1, 3), (0, 2, 4)
-    linked = f"""case x.k when 3 then {_has(secret, window)}
-                          when 4 then {_has(ident, window)}
-                          when 5 then {_has(ident, window)} and {_has(secret, window)}
-                          else true end"""
-    return df.select(*keep, "s5_text", F.expr(f"filter(s5_all, x -> {linked})").alias("s5_spans"))
+    every = f"array_sort(concat({', '.join(map(_spans_of, range(len(KINDS))))}))"
+    none = f"cast(array() as array<{_SPAN}>)"
+    return df.select(*keep, "s5_text", F.expr(_let("every", every, f"if(size(every) = 0, {none}, {_linked(window)})")).alias("s5_spans"))
 
 
 def _joined(spans: str) -> Column:
@@ -141,15 +156,13 @@ def redact(docs: DataFrame, window: int = 300, mask: str = "[SECRET]") -> DataFr
     masked as one.  A null text stays null."""
     names = docs.columns
     df = find_spans(docs.select("*", F.struct(*[F.col(f"`{c}`") for c in names]).alias("s5_row")), window, ("s5_row",))
-    merged = """aggregate(s5_spans, cast(array() as array<struct<s:int,e:int>>), (a, x) ->
-        if(size(a) > 0 and element_at(a, -1).e > x.s,
-           array_append(slice(a, 1, size(a) - 1), named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e))),
-           array_append(a, named_struct('s', x.s, 'e', x.e))))"""
-    df = df.select("s5_row", "s5_text", F.expr(merged).alias("s5_cut"))
-    pieces = """concat(
-        transform(s5_cut, (x, i) -> substring(s5_text, if(i = 0, 0, s5_cut[i - 1].e) + 1, x.s - if(i = 0, 0, s5_cut[i - 1].e))),
-        array(substring(s5_text, element_at(s5_cut, -1).e + 1)))"""
-    df = df.select("s5_row", F.when(F.size("s5_cut") == 0, F.col("s5_row.text")).otherwise(F.expr(f"array_join({pieces}, {mask!r})")).alias("s5_new"))
+    # what a span adds: the text since the furthest end before it and a mask, or
+    # nothing if it begins before that end; bytes are cut, as they can be reached directly
+    furthest = _scan("transform(spans, x -> x.c)", "int", "0", lambda a, x: f"greatest({a}, {x})")
+    piece = f"if(i > 0 and x.b < far[i - 1], '', concat(cast(substring(raw, if(i > 0, far[i - 1], 0) + 1, x.b - if(i > 0, far[i - 1], 0)) as string), {mask!r}))"
+    whole = f"concat(array_join(transform(spans, (x, i) -> {piece}), ''), cast(substring(raw, element_at(far, -1) + 1) as string))"
+    cut = _let("spans", "s5_spans", _let("raw", "cast(s5_text as binary)", _let("far", furthest, whole)))
+    df = df.select("s5_row", F.when(F.size("s5_spans") == 0, F.col("s5_row.text")).otherwise(F.expr(cut)).alias("s5_new"))
     new = {"text": F.col("s5_new")} | ({"n_chars": F.length("s5_new").cast("bigint")} if "n_chars" in names else {})
     return df.select(*[new.get(c, F.col(f"s5_row.`{c}`")).alias(c) for c in names])
 
