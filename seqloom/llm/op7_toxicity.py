@@ -22,7 +22,9 @@ documents, doc_id and toxic of labels are read.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,10 +74,10 @@ class Features:
         """feature -> 1 + log of its count"""
         counts: dict[int, int] = {}
         of_word = self.of_word
-        for w in _WORD.findall((text or "").lower()):
+        for w, n in Counter(_WORD.findall((text or "").lower())).items():
             for f in of_word(w):
-                counts[f] = counts.get(f, 0) + 1
-        return {f: 1 + float(np.log(n)) for f, n in counts.items()}
+                counts[f] = counts.get(f, 0) + n
+        return {f: 1 + math.log(n) for f, n in counts.items()}
 
 
 class Classifier:
