@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import table, written
 
-_TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
-_CUT_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
-_END = re.compile(r"\Z")
+#: Quotes hold a ">" only where a value begins; elsewhere they are like any sign.
+_TAG = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*+)>|<[!?/][^>]*>""", re.S)
+#: A comment or tag that the page's end cuts off, or that end.
+_CUT = re.compile(r"<!--|<[a-zA-Z/!?][^<>]*\Z|\Z")
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|aria-label)(?=[\s=>/]|\Z)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template"}
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW}
@@ -100,6 +101,8 @@ def blocks_of(html: str) -> tuple[list[str], bool]:
     open_ = [0, 0, 0, 0]
     marked = False
     heading = 0
+    # how many of each name are open, so that a stray end looks at no stack
+    names: dict[str, int] = {}
 
     def flush():
         if buffer:
@@ -111,33 +114,37 @@ def blocks_of(html: str) -> tuple[list[str], bool]:
     def pop():
         nonlocal heading
         name, kind = stack.pop()
+        names[name] -= 1
         if name not in _INLINE:
             flush()
         open_[kind] -= 1
         heading -= name in _HEADINGS
 
-    at, end = 0, len(html)
+    # no tag ends past the last ">", so none is looked for there
+    at, end, last = 0, len(html), html.rfind(">") + 1
     while at < end:
-        tag = _TAG.search(html, at)
-        upto = tag.start() if tag else (_CUT_TAG.search(html, at) or _END.search(html, at)).start()
+        tag = _TAG.search(html, at, last)
+        upto = tag.start() if tag else _CUT.search(html, at).start()
         if upto > at and not open_[SKIPPED] and (not open_[HEADER] or heading and open_[MAIN]):
             buffer.append(html[at:upto])
         if not tag:
             break
         at = tag.end()
-        name = (tag[2] or tag[5] or "").lower()
+        if at == last and tag[0].startswith("<!--") and not tag[0].endswith(("-->", "--!>")):
+            break  # a comment without an end
+        name = (tag[2] or "").lower()
         if not name:
             continue
-        closing = tag[1] if tag[2] else tag[4]
-        attributes = tag[3] if tag[2] else tag[6]
+        closing, attributes = tag[1], tag[3]
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
-            if k < 0:
+            if not names.get(name):
                 if name == "p":
                     flush()
                 continue
+            k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
             if name in _INLINE:
                 open_[stack[k][1]] -= 1
+                names[name] -= 1
                 del stack[k]
                 continue
             while len(stack) > k:
@@ -169,6 +176,7 @@ def blocks_of(html: str) -> tuple[list[str], bool]:
         if attributes.endswith("/") and name in ("svg", "path"):
             continue
         stack.append((name, kind))
+        names[name] = names.get(name, 0) + 1
         open_[kind] += 1
         heading += name in _HEADINGS
         marked |= kind == MAIN and not open_[SKIPPED]

@@ -20,6 +20,18 @@ def test_malformed_pages_do_not_crash():
     for html in ("", "<", "<p", "<a href='x>y<b>z", "</div></p>text", "<script>", "<!-- open", "<article><p>x<div class=\"y", "&#xZZ; &bogus; &#0;", "<" * 3000, "<p a=\"" * 500):
         op.blocks_of(html)
     assert main("<article>" + "<div>" * 3000 + "deep") == ["deep"]
+    assert main("<article>a<!-->b<!-- c --!>d<a href=x\">e</a><p title=\"1>0\">f<!-- open <p>g") == ["abde", "f"]
+    assert main("<article>one<p class='x>two<p>three <!-- a < b") == ["one", "two", "three"]
+
+
+def test_malformed_pages_take_linear_work():
+    import time
+
+    n = 100_000
+    for html in ("<p a=\"" * n, "<" * n, "<div>" * n + "</x>" * n, "<!--" * n, "<b>" * n + "</p>" * n, "<a b='" * n + ">", "<script>" * n, "a<b " * n, "&" * n):
+        began = time.perf_counter()
+        op.blocks_of(html)
+        assert time.perf_counter() - began < 20
 
 
 def test_given_pages_give_their_article(spark, sf_dir):
