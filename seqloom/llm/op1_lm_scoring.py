@@ -38,6 +38,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,8 +129,8 @@ def piece_counts(counts: DataFrame, name: str, size: int) -> np.ndarray:
 
     rows = counts.select(F.col("word").cast("binary").alias("word"), "n").mapInArrow(run, "piece long, n long")
     out = np.zeros(size)
-    for piece, n in rows.groupBy("piece").agg(F.sum("n")).collect():
-        out[piece] = n
+    got = rows.groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+    out[got["piece"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
@@ -343,8 +344,9 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, classes: int = 96, own:
     per_piece = piece_counts(counts, name, size)
     pieces = Pieces(per_piece, cluster(per_piece, profiles(docs, name, per_piece, rate), classes, own), classes)
     theta = train(docs, name, pieces, classes, rounds, rate)
-    frequent = counts.where(F.octet_length("word") <= 64).orderBy(F.col("n").desc(), "word").limit(hot).collect()
-    shared = spark.sparkContext.broadcast((theta, pieces.of, pieces.log_share, {r.word.encode(): r.n for r in frequent}))
+    frequent = counts.where(F.octet_length("word") <= 64).orderBy(F.col("n").desc(), "word").limit(hot).select(F.col("word").cast("binary").alias("word"), "n").toArrow()
+    frequent = dict(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist(), strict=True))
+    shared = spark.sparkContext.broadcast((theta, pieces.of, pieces.log_share, frequent))
     floor = 0.1 / (total + 0.1 * (distinct + 1))
     per = 1.0 / (total + 0.1 * (distinct + 1))
 
@@ -356,7 +358,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, classes: int = 96, own:
         return Attention(classes, theta=shared.value[0])
 
     if word_share is None:
-        rare = (total - sum(r.n for r in frequent)) / max(1, distinct - len(frequent))
+        rare = (total - sum(frequent.values())) / max(1, distinct - len(frequent))
         word_share = weigh(docs, words, model, per, floor, rare, 4 * rate, rounds)
     schema = f"uid long, word string, p double, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -397,11 +399,13 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, classes: int = 96, own:
 
         out = pa.schema([("uid", pa.int64()), ("word", pa.string()), ("p", pa.float64()), ("doc_id", arrow_kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         for b in batches:
-            texts, lo, load = b.column(3).to_pylist(), 0, 0
-            for k, t in enumerate(texts):
-                load += len(t or b"") + 50
-                if load > 1 << 20 or k == len(texts) - 1:
-                    yield rows(b.column(0)[lo : k + 1], b.column(1)[lo : k + 1], b.column(2)[lo : k + 1], texts[lo : k + 1])
+            # a MB of texts, or one text, at a time
+            sizes, lo, load = pc.binary_length(b.column(3)).fill_null(0).to_pylist(), 0, 0
+            for k, size in enumerate(sizes):
+                load += size + 50
+                if load > 1 << 20 or k == len(sizes) - 1:
+                    part = [b.column(i)[lo : k + 1] for i in range(4)]
+                    yield rows(*part[:3], part[3].to_pylist())
                     lo, load = k + 1, 0
 
     from pyspark.sql.pandas.types import to_arrow_type
