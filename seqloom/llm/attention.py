@@ -37,6 +37,8 @@ class Attention:
             self.p["b"][...] = start
         i, j = np.arange(half)[:, None] + half, np.arange(2 * half)[None, :]
         self._lag, self._causal = np.maximum(i - j, 0), i >= j
+        self._held = np.empty((2, 0, half, classes), np.float32)
+        self._seen = self._causal.astype(np.float32)
 
     def windows(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For sequences laid end to end: places of the windows' inputs (n, 2 half),
@@ -49,25 +51,35 @@ class Attention:
         there = (at >= 0) & (at < lengths[of][:, None])
         return np.where(there, at + first[of][:, None], 0), there, there[:, self.half :]
 
+    def _space(self, n: int) -> np.ndarray:
+        """Two tables of (n, half, classes), the same memory in every call."""
+        if self._held.shape[1] < n:
+            self._held = np.empty((2, n, self.half, self.classes), np.float32)
+        return self._held[:, :n]
+
     def forward(self, inputs: np.ndarray, there: np.ndarray) -> tuple:
         """``inputs`` (n, 2 half) class ids -> log probabilities (n, half, classes)
-        and what backward needs."""
+        and what backward needs, both good until the next call."""
         p, half = self.p, self.half
         x = p["E"][inputs]
         xq = x[:, half:]
-        q, k, v = xq @ p["Q"], x @ p["K"], x @ p["V"]
+        # one long product each instead of a short one a window
+        by = lambda t, w: (t.reshape(-1, t.shape[-1]) @ w).reshape(*t.shape[:-1], -1)
+        q, k, v = by(xq, p["Q"]), by(x, p["K"]), by(x, p["V"])
         s = (q @ k.transpose(0, 2, 1)) * np.float32(self.width**-0.5) + p["lag"][self._lag]
         # scores are small; a bound keeps exp in range without a pass for the maximum
         a = np.exp(np.clip(s, -30, 30, out=s), out=s)
-        a *= self._causal
-        a *= there[:, None, :]
+        a *= self._seen
+        a *= there.astype(np.float32)[:, None, :]
         total = a.sum(-1, keepdims=True)
         a /= np.maximum(total, np.float32(1e-20))
         o = a @ v
-        h = np.tanh(xq @ p["X"] + o @ p["O"] + p["h"])
-        z = h @ p["U"] + p["b"]
+        h = np.tanh(by(xq, p["X"]) + by(o, p["O"]) + p["h"])
+        z, e = self._space(len(inputs))
+        np.matmul(h.reshape(-1, h.shape[-1]), p["U"], out=z.reshape(-1, self.classes))
+        z += p["b"]
         z -= z.max(-1, keepdims=True)
-        e = np.exp(z)
+        np.exp(z, out=e)
         whole = e.sum(-1)
         z -= np.log(whole)[..., None]
         return z, (inputs, x, xq, q, k, v, a, o, h, e, whole)
@@ -82,13 +94,14 @@ class Attention:
         flat = lambda t: t.reshape(-1, t.shape[-1])
         g["U"] += flat(h).T @ flat(dz)
         g["b"] += flat(dz).sum(0)
-        d = (dz @ p["U"].T) * (1 - h * h)
+        by = lambda t, w: (flat(t) @ w).reshape(*t.shape[:-1], -1)
+        d = by(dz, p["U"].T) * (1 - h * h)
         g["X"] += flat(xq).T @ flat(d)
         g["O"] += flat(o).T @ flat(d)
         g["h"] += flat(d).sum(0)
         dx = np.zeros_like(x)
-        dx[:, half:] += d @ p["X"].T
-        do = d @ p["O"].T
+        dx[:, half:] += by(d, p["X"].T)
+        do = by(d, p["O"].T)
         dv, da = a.transpose(0, 2, 1) @ do, do @ v.transpose(0, 2, 1)
         ds = a * (da - (da * a).sum(-1, keepdims=True))
         g["lag"] += np.bincount(self._lag[self._causal], ds.sum(0)[self._causal], 2 * half)
@@ -96,9 +109,11 @@ class Attention:
         g["Q"] += flat(xq).T @ flat(dq)
         g["K"] += flat(x).T @ flat(dk)
         g["V"] += flat(x).T @ flat(dv)
-        dx[:, half:] += dq @ p["Q"].T
-        dx += dk @ p["K"].T + dv @ p["V"].T
-        np.add.at(g["E"], inputs, dx)
+        dx[:, half:] += by(dq, p["Q"].T)
+        dx += by(dk, p["K"].T) + by(dv, p["V"].T)
+        at = inputs.ravel()
+        for j, column in enumerate(np.ascontiguousarray(flat(dx).T)):
+            g["E"][:, j] += np.bincount(at, column, self.classes)
 
     def log_probs(self, classes: np.ndarray, lengths: np.ndarray, start: int, step: int = 192) -> np.ndarray:
         """Log probability of every class of the sequences laid end to end, each

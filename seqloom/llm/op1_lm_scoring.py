@@ -9,14 +9,14 @@ A text is its lower-cased words and one end.  The model mixes, word by word,
   it, by causal self-attention, times the piece's share of its class, again
   counted over the whole training part.
 
-The weights of the two are those that suit further spans of the training part
-best, each word's own occurrence left out of its count.
+The weights of the two are those that suit the spans of the training part best, each word's own occurrence left out of its count.
 So frequent words keep their counts and unseen words still get what their pieces
 and context say.  Pieces are put in classes by where they stand.  The attention
-model is trained in numpy on the executors: every task takes a fixed fraction of
-the word spans of each of its training texts, and the tasks' parameters are
-averaged, twice.  What is gathered (word counts, piece
-counts, spans) grows with the corpus; nothing of it is capped.
+model is trained in numpy on the executors on every word span of every training
+text: the spans are dealt over the rounds, each is learned from once, and the
+tasks' parameters are averaged after every round.  Profiles are counted, and the
+weight is learned, on the whole training part too.  What is gathered (word counts,
+piece counts, spans) grows with the corpus; nothing of it is capped or sampled.
 
 The ``hot`` most frequent words (of at most 64 bytes, so the broadcast is bounded)
 are scored where the text is read; other occurrences are joined with the table
@@ -134,41 +134,48 @@ def piece_counts(counts: DataFrame, name: str, size: int) -> np.ndarray:
     return out
 
 
-def _word_spans(batches: Iterator[pa.RecordBatch], rate: int, turn: int, span: int) -> Iterator[list[bytes]]:
-    """One in ``rate`` of the word spans of every text, its end with its last span."""
+def _word_spans(batches: Iterator[pa.RecordBatch], rounds: int, turn: int, span: int) -> Iterator[list[bytes]]:
+    """The word spans of every text that ``turn`` has, the end with a text's last
+    span.  Over turns 0 to ``rounds`` - 1 every span comes once."""
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            k = zlib.crc32(f"{i} {turn}".encode()) % rate
+            k = (zlib.crc32(str(i).encode()) + turn) % rounds
             if k and 2 * k * span > len(t or b"") + 1:
                 continue  # too short for so many words, each with a blank
             ws = words_of(t)
             last = max(1, -(-len(ws) // span)) - 1
-            for k in range(k, last + 1, rate):
+            for k in range(k, last + 1, rounds):
                 yield ws[k * span : (k + 1) * span] + [END] * (k == last)
 
 
-def _spans(batches: Iterator[pa.RecordBatch], encode, end: int, rate: int, turn: int, span: int) -> Iterator[np.ndarray]:
-    for ws in _word_spans(batches, rate, turn, span):
+def _spans(batches: Iterator[pa.RecordBatch], encode, end: int, rounds: int, turn: int, span: int) -> Iterator[np.ndarray]:
+    for ws in _word_spans(batches, rounds, turn, span):
         yield np.array([x for w in ws for x in ([end] if w == END else encode(w))], np.int64)
 
 
-def profiles(docs: DataFrame, name: str, counts: np.ndarray, rate: int, around: int = 32, span: int = 32) -> np.ndarray:
+def profiles(docs: DataFrame, name: str, counts: np.ndarray, around: int = 32, step: int = 4096) -> np.ndarray:
     """How often each piece stands after and before each of the ``around`` most
-    frequent ones (pieces, 2 around)."""
+    frequent ones (pieces, 2 around), over all neighbours in the training part;
+    ``step`` words are looked at together."""
     end = len(counts) - 1
     slot = np.full(len(counts), -1)
     slot[np.argsort(-counts, kind="stable")[:around]] = np.arange(around)
     shared = docs.sparkSession.sparkContext.broadcast(slot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = shared.value
-        sums = np.zeros(len(slot) * 2 * around, np.int32)
-        for ids in _spans(batches, encoder(name), end, rate, -1, span):
-            before, after = slot[ids[:-1]], slot[ids[1:]]
-            np.add.at(sums, ids[1:][before >= 0] * 2 * around + before[before >= 0], 1)
-            np.add.at(sums, ids[:-1][after >= 0] * 2 * around + around + after[after >= 0], 1)
+        slot, encode = shared.value, encoder(name)
+        sums = np.zeros(len(slot) * 2 * around, np.int64)
+        for b in batches:
+            for t in b.column(1).to_pylist():
+                ws, before_it = [*words_of(t), END], []
+                for lo in range(0, len(ws), step):
+                    ids = np.array(before_it + [x for w in ws[lo : lo + step] for x in ([end] if w == END else encode(w))], np.int64)
+                    before_it = [int(ids[-1])]
+                    before, after = slot[ids[:-1]], slot[ids[1:]]
+                    np.add.at(sums, ids[1:][before >= 0] * 2 * around + before[before >= 0], 1)
+                    np.add.at(sums, ids[:-1][after >= 0] * 2 * around + around + after[after >= 0], 1)
         at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at].astype(np.int64))], ["at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "n"])
 
     out = np.zeros(len(counts) * 2 * around, np.float32)
     got = _training(docs).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
@@ -249,9 +256,9 @@ class Words:
         return self.pieces[np.repeat(shift, lengths) + np.arange(lengths.sum())], lengths
 
 
-def train(docs: DataFrame, name: str, pieces: Pieces, classes: int, rounds: int, rate: int, span: int = 32) -> np.ndarray:
-    """Parameters averaged over the tasks, weighted by the windows they saw; every
-    task takes one in ``rate`` of the spans of each text."""
+def train(docs: DataFrame, name: str, pieces: Pieces, classes: int, rounds: int, span: int = 32) -> np.ndarray:
+    """Parameters averaged over the tasks after each round, weighted by the windows
+    they saw; over the rounds every span of every text is seen once."""
     start = np.log(pieces.mass / pieces.mass.sum())
     theta = Attention(classes, start=start).theta
     sc = docs.sparkSession.sparkContext
@@ -279,7 +286,7 @@ def train(docs: DataFrame, name: str, pieces: Pieces, classes: int, rounds: int,
                 seen += len(at)
                 held.clear(), lengths.clear()
 
-            for ids in _spans(batches, encode, end, rate, turn, span):
+            for ids in _spans(batches, encode, end, rounds, turn, span):
                 if len(ids):
                     held.append(ids)
                     lengths.append(len(ids))
@@ -298,10 +305,10 @@ def train(docs: DataFrame, name: str, pieces: Pieces, classes: int, rounds: int,
     return theta
 
 
-def weigh(docs: DataFrame, words: Callable[[], Words], model: Callable[[], Attention], per: float, floor: float, rare: float, rate: int, turn: int, span: int = 32) -> float:
-    """The weight of a word's share that suits one in ``rate`` spans of the training
-    part best, each word's own occurrence left out of its count (``rare`` where
-    the count isn't at hand)."""
+def weigh(docs: DataFrame, words: Callable[[], Words], model: Callable[[], Attention], per: float, floor: float, rare: float, span: int = 32) -> float:
+    """The weight of a word's share that suits the spans of the training part best,
+    each word's own occurrence left out of its count (``rare`` where the count
+    isn't at hand)."""
     grid = np.linspace(0.05, 0.95, 19)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +325,7 @@ def weigh(docs: DataFrame, words: Callable[[], Words], model: Callable[[], Atten
             sums = sums + np.array([np.log(x * base + (1 - x) * p).sum() for x in grid])
             held.clear()
 
-        for ws in _word_spans(batches, rate, turn, span):
+        for ws in _word_spans(batches, 1, 0, span):
             if ws:
                 held.append(ws)
             if len(held) >= 512:
@@ -331,8 +338,9 @@ def weigh(docs: DataFrame, words: Callable[[], Words], model: Callable[[], Atten
     return float(grid[max(rows, key=lambda r: r.x).at]) if rows else 0.5
 
 
-def score(docs: DataFrame, vocabulary: str = VOCABULARY, classes: int = 96, own: int = 32, hot: int = 131_072, rounds: int = 2, rate: int = 16, word_share: float | None = None, cached: int = 200_000) -> DataFrame:
-    """One row a document; see the module's text."""
+def score(docs: DataFrame, vocabulary: str = VOCABULARY, classes: int = 96, own: int = 32, hot: int = 131_072, rate: int = 2, word_share: float | None = None, cached: int = 200_000) -> DataFrame:
+    """One row a document; see the module's text.  A round of training takes one in
+    ``rate`` spans, and there are as many rounds as take every span once."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     spark.sparkContext.addFile(vocabulary)
@@ -342,8 +350,8 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, classes: int = 96, own:
     counts = written(word_counts(docs), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     per_piece = piece_counts(counts, name, size)
-    pieces = Pieces(per_piece, cluster(per_piece, profiles(docs, name, per_piece, rate), classes, own), classes)
-    theta = train(docs, name, pieces, classes, rounds, rate)
+    pieces = Pieces(per_piece, cluster(per_piece, profiles(docs, name, per_piece), classes, own), classes)
+    theta = train(docs, name, pieces, classes, rate)
     frequent = counts.where(F.octet_length("word") <= 64).orderBy(F.col("n").desc(), "word").limit(hot).select(F.col("word").cast("binary").alias("word"), "n").toArrow()
     frequent = dict(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist(), strict=True))
     shared = spark.sparkContext.broadcast((theta, pieces.of, pieces.log_share, frequent))
@@ -359,7 +367,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, classes: int = 96, own:
 
     if word_share is None:
         rare = (total - sum(frequent.values())) / max(1, distinct - len(frequent))
-        word_share = weigh(docs, words, model, per, floor, rare, 4 * rate, rounds)
+        word_share = weigh(docs, words, model, per, floor, rare)
     schema = f"uid long, word string, p double, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

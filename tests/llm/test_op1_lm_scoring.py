@@ -116,3 +116,23 @@ def test_training_learns_a_pattern():
     inputs = np.r_[0, seq[:-1]]
     losses = [adam.step(inputs[at], there, seq[at[:, 4:]], scored) for _ in range(150)]
     assert losses[-1] < 0.3 < losses[0]
+
+
+def test_every_training_word_is_learned_from_once_and_profiles_count_all(spark, frame):
+    import pyarrow as pa
+
+    texts = ["", "one", " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(999))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t.encode() for t in texts])], ["doc_id", "text"])
+    for rounds in (1, 2, 5):
+        seen = Counter(w for turn in range(rounds) for ws in op._word_spans([batch], rounds, turn, 32) for w in ws)
+        assert seen == Counter([w for t in texts for w in t.encode().split()] + [op.END] * len(texts))
+
+    spark.sparkContext.addFile(op.VOCABULARY)
+    name = op.VOCABULARY.rsplit("/", 1)[-1]
+    docs = frame([(k, "the a " * 50) for k in range(20)])
+    size = sum(1 for _ in open(op.VOCABULARY, "rb")) + 1
+    counts = op.piece_counts(op.word_counts(docs), name, size)
+    profile = op.profiles(docs, name, counts, around=3, step=7)
+    # each text's pieces and end have one neighbour fewer than they are
+    texts = sum(zlib.crc32(str(k).encode()) % 10 != 0 for k in range(20))
+    assert profile[:, :3].sum() == profile[:, 3:].sum() == counts.sum() - texts == 100 * texts
