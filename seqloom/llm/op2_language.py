@@ -228,5 +228,8 @@ def accepted_only(docs: DataFrame) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = identify_documents(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")})
-    return found.select("doc_id", "lang", "posterior", "declared", "accepted")
+    """A row for every document (page_id null) and for every page (doc_id null)."""
+    names = ("lang", "posterior", "declared", "accepted")
+    docs = identify_documents(table(spark, sf_dir, "documents"), {"doc_id": F.col("doc_id")}).select("doc_id", *names)
+    pages = identify_pages(table(spark, sf_dir, "pages"), {"page_id": F.col("page_id")}).select("page_id", *names)
+    return docs.unionByName(pages, allowMissingColumns=True)

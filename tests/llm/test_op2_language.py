@@ -96,3 +96,11 @@ def test_hard_rows_and_empty(frame, hard):
     assert identify(frame([])).count() == 0 and op.accepted_only(frame([])).count() == 0
     told_nothing = identify(frame([(1, "some words"), (2, None)])).collect()
     assert {r.doc_id: r.accepted for r in told_nothing} == {1: True, 2: False}
+
+
+def test_query_identifies_every_document_and_every_page(spark, sf_dir):
+    rows = op.op2_language_id(spark, sf_dir).collect()
+    for name, one in (("documents", "doc_id"), ("pages", "page_id")):
+        want = sorted(r[0] for r in table(spark, sf_dir, name).select(one).collect())
+        assert sorted(r[one] for r in rows if r[one] is not None) == want
+    assert all((r.doc_id is None) != (r.page_id is None) and r.lang is not None for r in rows)
