@@ -7,14 +7,15 @@ element, role or class.  No text is removed there because other pages repeat it:
 articles share sentences and licence lines, which have to stay.
 
 Pages without such a mark give the other blocks of their body.  Of these, runs
-repeated across distinct pages of the same host are boilerplate.  They are found
+repeated on more than ``share`` of the host's distinct pages are boilerplate.  They are found
 as in a suffix array of the host's token streams: suffixes, cut at ``run``
 tokens, are sorted by (host, fingerprint of the run) over all tasks, and equal
-neighbours from pages of different content mark their tokens as covered.  A host
+neighbours from enough pages of different text mark their tokens as covered.  A host
 is never collected: a host with a third of all pages spreads over all tasks by
-its fingerprints, and repeats are counted before the shuffle.  Blocks with at
-least half of their tokens covered go, unique runs stay.  Copies of a whole page
-count as one page, so a mirrored page keeps its text.
+its fingerprints, and repeats are counted before the shuffle.  Covered
+tokens go, a block's other tokens stay.  Pages of the same text count as one, so
+a mirrored page keeps its text.  A page of which ``copied`` or more is covered is
+a near copy of others, not their frame: it keeps all its text, its menus too.
 
 Character references are decoded; white space inside a block becomes one space
 (a line break is white space); blocks are trimmed, empty ones left out, and
@@ -193,7 +194,7 @@ def _fingerprints(tokens: list[str], run: int) -> list[int]:
     return [xxh64_intdigest("\x1f".join(tokens[k : k + run])) - (1 << 63) for k in range(len(tokens) - run + 1)]
 
 
-def extract(pages: DataFrame, run: int = 10) -> DataFrame:
+def extract(pages: DataFrame, run: int = 10, share: float = 0.5, copied: float = 0.8) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``."""
     kind = pages.schema["page_id"].dataType.simpleString()
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
@@ -210,22 +211,27 @@ def extract(pages: DataFrame, run: int = 10) -> DataFrame:
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [blocks_of(h)[0] for h in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), pa.array(out, pa.list_(pa.string()))], ["page_id", "url", "host", "content", "blocks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(out, pa.list_(pa.string()))], ["page_id", "url", "host", "blocks"])
 
     host = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
-    open_pages = rows.where(~F.col("html").rlike(_MARK)).select("*", F.lower(host).alias("host"), F.xxhash64("html").alias("content"))
-    open_pages = written(open_pages.mapInArrow(streams, f"page_id {kind}, url string, host string, content long, blocks array<string>"), "pages")
+    open_pages = rows.where(~F.col("html").rlike(_MARK)).select("*", F.lower(host).alias("host"))
+    open_pages = written(open_pages.mapInArrow(streams, f"page_id {kind}, url string, host string, blocks array<string>").withColumn("content", F.xxhash64("blocks")), "pages")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for h, c, blocks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 marks = _fingerprints([t for x in blocks for t in x.split()], run)
                 n = len(marks)
-                yield pa.RecordBatch.from_arrays([pa.array([h] * n, pa.string()), pa.array([c] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(marks, pa.int64())], ["host", "content", "at", "mark"])
+                # a page counts once for each of its runs
+                met: set[int] = set()
+                first = [int(m not in met and not met.add(m)) for m in marks]
+                yield pa.RecordBatch.from_arrays([pa.array([h] * n, pa.string()), pa.array([c] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(marks, pa.int64()), pa.array(first, pa.int64())], ["host", "content", "at", "mark", "first"])
 
     once = open_pages.select("host", "content", "blocks").dropDuplicates(["host", "content"])
-    suffix = once.mapInArrow(suffixes, "host string, content long, at long, mark long")
-    ends = suffix.groupBy("host", "mark").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("host", "mark")
+    suffix = once.mapInArrow(suffixes, "host string, content long, at long, mark long, first long")
+    per_host = once.groupBy("host").agg(F.count("*").alias("pages"))
+    ends = suffix.groupBy("host", "mark").agg(F.sum("first").alias("n")).where("n > 1")
+    ends = ends.join(per_host, "host").where(F.col("n") > F.lit(share) * F.col("pages")).select("host", "mark")
     covered = suffix.join(ends, ["host", "mark"]).groupBy("host", "content").agg(F.collect_set("at").alias("starts"))
 
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,12 +239,15 @@ def extract(pages: DataFrame, run: int = 10) -> DataFrame:
             out = []
             for blocks, starts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 hit = {t for s in starts or () for t in range(s, s + run)}
+                if hit and len(hit) >= copied * sum(len(x.split()) for x in blocks):
+                    hit = set()
                 at, kept = 0, []
                 for x in blocks:
-                    n = len(x.split())
-                    if 2 * sum(t in hit for t in range(at, at + n)) < n:
-                        kept.append(x)
-                    at += n
+                    tokens = x.split()
+                    left = [t for k, t in enumerate(tokens, at) if k not in hit]
+                    at += len(tokens)
+                    if left:
+                        kept.append(" ".join(left))
                 out.append("\n".join(kept))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 

@@ -93,3 +93,17 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in op.extract(df).collect())
     assert got == [(0, "x", 1), (1, "", 0), (1, "", 0), (2, "y", 1), (3, "", 0)]
     assert op.extract(df.limit(0)).count() == 0
+
+
+def test_near_copies_keep_their_text_and_blocks_their_own_tokens(spark):
+    menu, shared = "start one two three four five six seven eight nine ten", " ".join(f"passage{k}" for k in range(20))
+    own = lambda k: " ".join(f"own{k}x{j}" for j in range(30))
+    article = " ".join(f"story{k}" for k in range(60))
+    pages = {k: ("http://a.org", [f"{menu} here{k}", own(k)]) for k in range(6)}
+    pages |= {k: ("http://a.org", [f"{menu} here{k}", f"{shared} said{k}", own(k)]) for k in (6, 7)}
+    pages |= {k: ("http://b.org", [f"{article} date{k}"]) for k in (10, 11)}
+    rows = [(k, f"{host}/{k}", "".join(f"<div>{b}</div>" for b in blocks)) for k, (host, blocks) in pages.items()]
+    got = {r.page_id: r.text for r in op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k, (host, blocks) in pages.items():
+        # a menu is cut out of its block; what two of eight pages quote stays
+        assert got[k] == "\n".join([f"here{k}", *blocks[1:]] if host == "http://a.org" else blocks)
