@@ -23,6 +23,7 @@ An empty table gives an empty result.  Only doc_id and text are read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import table, written
+from seqloom.llm.common import table, text_of, written
 from seqloom.llm.components import components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -278,16 +279,18 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 3, block: int = 4096
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest id; of
-    rows that share that id, one by hash.  No group can name rows without an id
-    as its first, so these pass unchanged."""
-    names = docs.columns
-    known = docs.where("doc_id is not null")
-    kept = groups(known, shingle, radius).where("doc_id = component_id").select(F.col("doc_id").alias("k_id")).distinct()
-    out = known.join(kept, F.col("doc_id") == F.col("k_id"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in names])))
-    out = out.select("*", first.alias("_first_of_id")).where("_first_of_id = 1").select(*[F.col(f"`{c}`") for c in names])
-    return out.union(docs.where("doc_id is null"))
+    """``docs`` with one row of each group: the one with the smallest id, a null
+    id last; of rows of one group that share that id, the text with the smallest
+    hash, and of rows that share id and text, one by a hash of the row.  Ids
+    needn't be unique: rows of one id with texts of different groups all stay."""
+    mark = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("h"))
+    first = groups(docs.select(mark.alias("doc_id"), "text"), shingle, radius).select("component_id.id", "component_id.h").distinct()
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    # columns lie in a struct, so that no name can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("of_id"), F.xxhash64(text_of()).alias("of_h"), F.xxhash64(*hashable).alias("tie"))
+    kept = rows.join(first, F.col("of_id").eqNullSafe(F.col("id")) & (F.col("of_h") == F.col("h")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("of_id", "of_h").orderBy("tie"))
+    return kept.withColumn("place", place).where("place = 1").select("row.*")
 
 
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

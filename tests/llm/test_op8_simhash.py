@@ -79,9 +79,17 @@ def test_counters_against_popcount():
 
 
 def test_keep_one_leaves_a_row_a_group(frame):
-    docs = frame([(5, "one two three four five six"), (2, "ONE two three four five six"), (2, "ONE two three four five six"), (9, "other words stand here in full"), (None, "z")])
-    kept = op.keep_one(docs)
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [2, 9] and kept.columns == docs.columns
+    text = "one two three four five six"
+    rows = [(5, text), (2, text.replace("one", "ONE")), (2, text.replace("one", "ONE")), (9, "other words stand here in full"), (None, "z"), (None, "z"), (None, text)]
+    kept = op.keep_one(docs := frame(rows))
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in kept.collect()) == [(False, 2, text.replace("one", "ONE")), (False, 9, rows[3][1]), (True, None, "z")]
+    assert kept.columns == docs.columns
+
+
+def test_keep_one_loses_no_text_of_repeated_ids(frame):
+    shared, own = "a text that two ids share word for word", "quite another text stands here under the same id"
+    kept = op.keep_one(frame([(3, shared), (5, shared), (5, own), (5, own), (7, None), (7, "")]))
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(3, shared), (5, own), (7, "")]
 
 
 def test_components_of_a_chain_and_a_star(spark):
