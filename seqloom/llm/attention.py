@@ -1,197 +1,142 @@
 """A small causal self-attention model in numpy.
 
-Token classes are embedded, one masked attention head looks back over a window,
-and a hidden layer gives the logits of the next class.  A sequence is read in
-windows of ``2 * half`` inputs that overlap by half: each window predicts the
-tokens of its second half, so every token is predicted once, with ``half`` to
-``2 * half - 1`` inputs before it once the sequence is that long.
+A sequence of classes is read in windows of ``2 * half`` inputs that overlap by
+half: a window predicts the classes of its second half, so each is predicted
+once, from the last input and ``half`` to ``2 * half - 1`` before it.  The last
+input is the query.  Its embedding times those of the inputs, a bias of the input
+and one of the distance give the scores, and a masked softmax the attention.  An
+input's value is the distribution of the class that stands at this distance after
+it, so the attended mixture is itself a distribution.
+
+The values are counts of the corpus (``transitions``); embeddings and biases are
+trained by gradients that are summed over tasks before every step, so neither the
+number of tasks nor the order of rows changes a parameter by more than rounding.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
+def values_of(counts: np.ndarray, own: np.ndarray, prior: float = 20.0) -> np.ndarray:
+    """``counts`` (distances, from, to) as shares, smoothed to the classes' ``own``
+    shares with the weight of ``prior`` occurrences."""
+    return ((counts + prior * own) / (counts.sum(-1, keepdims=True) + prior)).astype(np.float32)
+
+
+def transitions(classes: np.ndarray, lengths: np.ndarray, start: int, n: int, distances: int, far: int) -> np.ndarray:
+    """How often each class stands at each of ``far`` distances after each other,
+    for sequences laid end to end with ``start`` before each; distances beyond
+    ``distances`` count as the last."""
+    m, z = n + 1, np.full(len(classes) + (far + 1) * len(lengths), n, np.intp)  # class n stands for nothing
+    begin = np.cumsum(lengths) - lengths + (far + 1) * np.arange(1, len(lengths) + 1)
+    z[begin - 1] = start
+    z[np.arange(len(classes)) + np.repeat(begin - np.cumsum(lengths) + lengths, lengths)] = classes
+    scaled, out = z * m, np.zeros((distances, m * m), np.int64)
+    for k in range(far):
+        out[min(k, distances - 1)] += np.bincount(scaled[: len(z) - k - 1] + z[k + 1 :], minlength=m * m)
+    return out.reshape(distances, m, m)[:, :n, :n]
+
+
 class Attention:
     """Parameters lie in one flat array, ``theta``; views have the shapes."""
 
-    def __init__(self, classes: int = 64, width: int = 8, hidden: int = 16, half: int = 8, theta: np.ndarray | None = None, seed: int = 1, start: np.ndarray | None = None):
-        self.classes, self.width, self.half = classes, width, half
-        shapes = {"E": (classes, width), "Q": (width, width), "K": (width, width), "V": (width, width), "lag": (2 * half,), "X": (width, hidden), "O": (width, hidden), "h": (hidden,), "U": (hidden, classes), "b": (classes,)}
+    def __init__(self, values: np.ndarray, width: int = 16, half: int = 4, theta: np.ndarray | None = None, seed: int = 1):
+        distances, n, _ = values.shape
+        self.classes, self.width, self.half = n, width, half
+        shapes = {"Q": (n, width), "K": (n, width), "key": (n,), "lag": (2 * half,)}
         self.size = sum(int(np.prod(s)) for s in shapes.values())
-        if theta is None:
-            rng = np.random.default_rng(seed)
-            theta = np.zeros(self.size)
-        else:
-            rng = None
-        self.theta, at = np.array(theta, np.float32), 0
-        self.grad = np.zeros_like(self.theta)
-        self.p, self.g = {}, {}
+        new = theta is None
+        self.theta, at, self.p = np.zeros(self.size) if new else np.array(theta, float), 0, {}
         for name, shape in shapes.items():
-            n = int(np.prod(shape))
-            self.p[name], self.g[name] = self.theta[at : at + n].reshape(shape), self.grad[at : at + n].reshape(shape)
-            if rng is not None and len(shape) == 2:
-                self.p[name][...] = rng.normal(size=shape) * (0.5 if name == "E" else shape[0] ** -0.5)
-            at += n
-        if rng is not None and start is not None:
-            self.p["b"][...] = start
-        i, j = np.arange(half)[:, None] + half, np.arange(2 * half)[None, :]
-        self._lag, self._causal = np.maximum(i - j, 0), i >= j
-        self._held = np.empty((2, 0, half, classes), np.float32)
-        self._seen = self._causal.astype(np.float32)
-
-    def windows(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For sequences laid end to end: places of the windows' inputs (n, 2 half),
-        which of these exist, and which places of the second half do."""
-        per = -(-lengths // self.half)
-        of = np.repeat(np.arange(len(lengths)), per)
-        first = np.cumsum(lengths) - lengths
-        k = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
-        at = (k * self.half - self.half)[:, None] + np.arange(2 * self.half)
-        there = (at >= 0) & (at < lengths[of][:, None])
-        return np.where(there, at + first[of][:, None], 0), there, there[:, self.half :]
-
-    def _space(self, n: int) -> np.ndarray:
-        """Two tables of (n, half, classes), the same memory in every call."""
-        if self._held.shape[1] < n:
-            self._held = np.empty((2, n, self.half, self.classes), np.float32)
-        return self._held[:, :n]
-
-    def forward(self, inputs: np.ndarray, there: np.ndarray) -> tuple:
-        """``inputs`` (n, 2 half) class ids -> log probabilities (n, half, classes)
-        and what backward needs, both good until the next call."""
-        p, half = self.p, self.half
-        x = p["E"][inputs]
-        xq = x[:, half:]
-        # one long product each instead of a short one a window
-        by = lambda t, w: (t.reshape(-1, t.shape[-1]) @ w).reshape(*t.shape[:-1], -1)
-        q, k, v = by(xq, p["Q"]), by(x, p["K"]), by(x, p["V"])
-        s = (q @ k.transpose(0, 2, 1)) * np.float32(self.width**-0.5) + p["lag"][self._lag]
-        # scores are small; a bound keeps exp in range without a pass for the maximum
-        a = np.exp(np.clip(s, -30, 30, out=s), out=s)
-        a *= self._seen
-        a *= there.astype(np.float32)[:, None, :]
-        total = a.sum(-1, keepdims=True)
-        a /= np.maximum(total, np.float32(1e-20))
-        o = a @ v
-        h = np.tanh(by(xq, p["X"]) + by(o, p["O"]) + p["h"])
-        z, e = self._space(len(inputs))
-        np.matmul(h.reshape(-1, h.shape[-1]), p["U"], out=z.reshape(-1, self.classes))
-        z += p["b"]
-        z -= z.max(-1, keepdims=True)
-        np.exp(z, out=e)
-        whole = e.sum(-1)
-        z -= np.log(whole)[..., None]
-        return z, (inputs, x, xq, q, k, v, a, o, h, e, whole)
-
-    def backward(self, targets: np.ndarray, scored: np.ndarray, state: tuple) -> None:
-        """Adds the gradient of the mean loss to ``grad``; the state is used up."""
-        inputs, x, xq, q, k, v, a, o, h, dz, whole = state
-        p, g, half, scale = self.p, self.g, self.half, np.float32(self.width**-0.5)
-        counts = (scored / max(1, scored.sum())).astype(np.float32)
-        dz *= (counts / whole)[..., None]
-        dz.reshape(-1)[np.arange(targets.size) * self.classes + targets.ravel()] -= counts.ravel()
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        g["U"] += flat(h).T @ flat(dz)
-        g["b"] += flat(dz).sum(0)
-        by = lambda t, w: (flat(t) @ w).reshape(*t.shape[:-1], -1)
-        d = by(dz, p["U"].T) * (1 - h * h)
-        g["X"] += flat(xq).T @ flat(d)
-        g["O"] += flat(o).T @ flat(d)
-        g["h"] += flat(d).sum(0)
-        dx = np.zeros_like(x)
-        dx[:, half:] += by(d, p["X"].T)
-        do = by(d, p["O"].T)
-        dv, da = a.transpose(0, 2, 1) @ do, do @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        g["lag"] += np.bincount(self._lag[self._causal], ds.sum(0)[self._causal], 2 * half)
-        dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-        g["Q"] += flat(xq).T @ flat(dq)
-        g["K"] += flat(x).T @ flat(dk)
-        g["V"] += flat(x).T @ flat(dv)
-        dx[:, half:] += by(dq, p["Q"].T)
-        dx += by(dk, p["K"].T) + by(dv, p["V"].T)
-        at = inputs.ravel()
-        for j, column in enumerate(np.ascontiguousarray(flat(dx).T)):
-            g["E"][:, j] += np.bincount(at, column, self.classes)
-
-    def log_probs(self, classes: np.ndarray, lengths: np.ndarray, start: int, step: int = 192) -> np.ndarray:
+            size = int(np.prod(shape))
+            self.p[name] = self.theta[at : at + size].reshape(shape)
+            at += size
+        if new:
+            self.p["Q"][...], self.p["K"][...] = np.random.default_rng(seed).normal(size=(2, n, width)) * 0.3
+            self.p["lag"][1:] = -2
+        # class n stands for nothing: it is masked as an input, and has no value as a target
+        pair = np.zeros((n + 1, n + 1), np.float32)
+        pair[:n, :n] = np.exp(np.clip(self.p["Q"] @ self.p["K"].T * width**-0.5 + self.p["key"], -30, 30))
+        table = np.zeros((distances, n + 1, n + 1), np.float32)
+        table[:, :n, :n] = values
+        self._pair, tables = pair.ravel(), table.reshape(distances, -1)
+        self._values = [tables[min(lag, distances - 1)] for lag in range(2 * half)]
+        self._near = np.exp(np.clip(self.p["lag"], -30, 30)).astype(np.float32)
+
+    def _laid(self, classes: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs and targets (half, rows) and each class's place among the targets:
+        a row of nothing before every sequence, then rows of ``half`` places.  A
+        window is a row and the one before it."""
+        half, lengths = self.half, lengths[lengths > 0]
+        rows, first = -(-lengths // half) + 1, np.cumsum(lengths) - lengths
+        begin = (np.cumsum(rows) - rows + 1) * half
+        at = np.arange(len(classes)) + np.repeat(begin - first, lengths)
+        x, y = np.full((2, int(rows.sum()) * half), self.classes, np.intp)
+        y[at], x[at[1:]], x[begin] = classes, classes[:-1], start
+        return np.ascontiguousarray(x.reshape(-1, half).T), np.ascontiguousarray(y.reshape(-1, half).T), at
+
+    def _attend(self, x: np.ndarray, y: np.ndarray, step: int) -> Iterator[tuple]:
+        """For a query place of ``step`` windows at a time: its rows, the pairs of
+        query and inputs, attention before it is divided by its sum, values, and the
+        sums of the attention and of the attended values.  All are used up before
+        the next."""
+        half, rows = self.half, x.shape[1]
+        held = np.empty((2 * half, step), np.intp), np.empty((2 * half, step), np.float32), np.empty((2 * half, step), np.float32)
+        place = np.empty(step, np.intp)
+        for lo in range(1, rows, step):
+            hi = min(rows, lo + step)
+            keys = [*x[:, lo - 1 : hi - 1], *x[:, lo:hi]]
+            scaled = [k * (self.classes + 1) for k in keys]
+            pairs, a, v, to = (t[..., : hi - lo] for t in (*held, place))
+            for i in range(half):
+                seen, target = half + i + 1, y[i, lo:hi]
+                for j in range(seen):
+                    np.add(scaled[half + i], keys[j], out=pairs[j])
+                    np.take(self._pair, pairs[j], out=a[j], mode="clip")
+                    a[j] *= self._near[half + i - j]
+                    np.add(scaled[j], target, out=to)
+                    np.take(self._values[half + i - j], to, out=v[j], mode="clip")
+                yield i, lo, hi, pairs[:seen], a[:seen], v[:seen], a[:seen].sum(0), np.einsum("jm,jm->m", a[:seen], v[:seen])
+
+    def log_probs(self, classes: np.ndarray, lengths: np.ndarray, start: int, step: int = 4096) -> np.ndarray:
         """Log probability of every class of the sequences laid end to end, each
-        sequence preceded by ``start``.
-
-        Inputs are classes, so what depends on one or two of them comes from
-        tables: projections of each class, and the exponential of every pair's
-        score.  ``step`` windows at a time stay in the processor's cache."""
-        p, half, n = self.p, self.half, self.classes
-        lengths = lengths[lengths > 0]
-        per, first = -(-lengths // half), np.cumsum(lengths) - lengths
-        of = np.repeat(np.arange(len(lengths)), per)
-        k = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
-        # a window's first input; a sequence's first window has no left half.  Past a
-        # sequence's end stands what follows, which no scored place can see.
-        begin, lone, left = first[of] + k * half, k == 0, (lengths[of] - k * half)[:, None] > np.arange(half)
-        inputs = np.full(len(classes) + 3 * half, start, np.intp)
-        inputs[half + 1 : half + len(classes)] = classes[:-1]
-        inputs[half + first] = start
-        targets = np.zeros(len(classes) + half, np.intp)
-        targets[: len(classes)] = classes
-        # scores have the bounds of forward(); logits need no maximum below 80
-        pair = (p["E"] @ p["Q"]) @ (p["E"] @ p["K"]).T * np.float32(self.width**-0.5)
-        wide = np.abs(pair).max() + np.abs(p["lag"]).max() > 30
-        near = np.exp(np.clip(pair[None, :, :] + p["lag"][:, None, None], -30, 30)) if wide else None
-        pair, lag = np.exp(np.minimum(pair, 30)).ravel(), np.exp(np.minimum(p["lag"], 30))[self._lag] * self._causal
-        values, own = p["E"] @ p["V"] @ p["O"], p["E"] @ p["X"] + p["h"]
-        bias, ones = np.exp(np.minimum(p["b"], 80)), np.ones(2 * half, np.float32)
-        small = (np.abs(p["U"]).sum(0) + np.abs(p["b"])).max() < 80
-        span, out, at = np.arange(2 * half), np.empty(len(classes), np.float32), 0
-        # windows stand last where pairs are scored, so that every step runs over long rows
-        begin, lag = begin.astype(np.intp), lag[:, :, None]
-        for lo in range(0, len(of), step):
-            start_of = begin[lo : lo + step]
-            m = len(start_of)
-            x = inputs.take(span[:, None] + start_of)
-            if near is None:
-                a = pair.take((x[half:] * n)[:, None, :] + x[None, :, :])
-                a *= lag
-            else:
-                a = near[self._lag[:, :, None], x[half:, None, :], x[None, :, :]] * self._causal[:, :, None]
-            a[:, :half, np.flatnonzero(lone[lo : lo + step])] = 0
-            # queries of a window are one product: (windows, half, 2 half) by (windows, 2 half, hidden)
-            a = np.ascontiguousarray(a.transpose(2, 0, 1))
-            total = a.reshape(-1, 2 * half) @ ones
-            x = np.ascontiguousarray(x.T)
-            h = (a @ values.take(x, 0)).reshape(m * half, -1)
-            h /= np.maximum(total, np.float32(1e-20))[:, None]
-            h += own.take(x[:, half:].ravel(), 0)
-            z = np.tanh(h, out=h) @ p["U"]
-            target = targets.take((start_of[:, None] + span[:half]).ravel())
-            chosen = z.ravel().take(np.arange(m * half) * n + target) + p["b"].take(target)
-            if small:
-                chosen -= np.log(np.exp(z, out=z) @ bias)
-            else:
-                z += p["b"]
-                top = z.max(1)
-                z -= top[:, None]
-                chosen -= np.log(np.exp(z, out=z).sum(1)) + top
-            hit = chosen[left[lo : lo + step].ravel()]
-            out[at : at + len(hit)] = hit
-            at += len(hit)
-        return out
+        preceded by ``start``."""
+        x, y, at = self._laid(classes, lengths, start)
+        out = np.ones(x.shape, np.float32)
+        for i, lo, hi, _, _, _, whole, hit in self._attend(x, y, step):
+            np.divide(hit, whole, out=out[i, lo:hi], where=hit > 0)
+        return np.log(out.T.ravel()[at])
+
+    def gradient(self, classes: np.ndarray, lengths: np.ndarray, start: int, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """The log probabilities, and the gradient of their sum."""
+        x, y, at = self._laid(classes, lengths, start)
+        m, half = self.classes + 1, self.half
+        out, pairs_sum, lag = np.ones(x.shape, np.float32), np.zeros(m * m), np.zeros(2 * half)
+        for i, lo, hi, pairs, a, v, whole, hit in self._attend(x, y, step):
+            some = hit > 0
+            np.divide(hit, whole, out=out[i, lo:hi], where=some)
+            # attention times what the value has over the mixture, as a share of it
+            v *= np.divide(1, hit, out=np.zeros_like(hit), where=some)
+            v -= np.divide(1, whole, out=np.zeros_like(hit), where=some)
+            v *= a
+            pairs_sum += np.bincount(pairs.ravel(), v.ravel(), m * m)
+            lag[: half + i + 1] += v.sum(1, dtype=float)[::-1]
+        d, scale = pairs_sum.reshape(m, m)[:-1, :-1], self.width**-0.5
+        return np.log(out.T.ravel()[at]), np.concatenate([(d @ self.p["K"] * scale).ravel(), (d.T @ self.p["Q"] * scale).ravel(), d.sum(0), lag])
 
 
 class Adam:
-    def __init__(self, model: Attention, rate: float = 0.02):
-        self.model, self.rate, self.n = model, rate, 0
-        self.m, self.v = np.zeros_like(model.theta), np.zeros_like(model.theta)
-
-    def step(self, inputs: np.ndarray, there: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> float:
-        model = self.model
-        model.grad[...] = 0
-        z, state = model.forward(inputs, there)
-        loss = -float(np.take_along_axis(z, targets[..., None], -1)[..., 0][scored].mean()) if scored.any() else 0.0
-        model.backward(targets, scored, state)
+    """Steps uphill, by gradients that are means."""
+
+    def __init__(self, size: int, rate: float = 0.4):
+        self.rate, self.n, self.m, self.v = rate, 0, np.zeros(size), np.zeros(size)
+
+    def step(self, theta: np.ndarray, gradient: np.ndarray, slower: float = 1.0) -> np.ndarray:
         self.n += 1
-        self.m = 0.9 * self.m + 0.1 * model.grad
-        self.v = 0.99 * self.v + 0.01 * model.grad**2
-        model.theta -= self.rate * (self.m / (1 - 0.9**self.n)) / (np.sqrt(self.v / (1 - 0.99**self.n)) + 1e-8)
-        return loss
+        self.m = 0.8 * self.m + 0.2 * gradient
+        self.v = 0.95 * self.v + 0.05 * gradient**2
+        # the bound keeps rounding where there is no gradient from being steps
+        return theta + slower * self.rate * (self.m / (1 - 0.8**self.n)) / (np.sqrt(self.v / (1 - 0.95**self.n)) + 1e-7)

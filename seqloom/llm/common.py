@@ -19,22 +19,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where
-    the session names none, as in local tests."""
+    the session names none and all runs on this machine, as in local tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isEmpty():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get().rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """``df`` cut from its lineage: written once as Parquet to the shared
-    folder and reread, so that a lost executor costs no recomputation."""
+    folder, in a folder for each value of ``by``, and reread, so that a lost
+    executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,21 +6,26 @@ A text is its lower-cased words and one end.  The model mixes, word by word,
   training part (the base score's probability);
 * the product of the probabilities of its subword pieces (a public byte-level
   vocabulary), each the probability of the piece's class given the pieces before
-  it, by causal self-attention, times the piece's share of its class, again
-  counted over the whole training part.
+  it, by causal self-attention, times the piece's share of its class.
 
-The weights of the two are those that suit the spans of the training part best, each word's own occurrence left out of its count.
 So frequent words keep their counts and unseen words still get what their pieces
-and context say.  Pieces are put in classes by where they stand.  The attention
-model is trained in numpy on the executors on every word span of every training
-text: the spans are dealt over the rounds, each is learned from once, and the
-tasks' parameters are averaged after every round.  Profiles are counted, and the
-weight is learned, on the whole training part too.  What is gathered (word counts,
-piece counts, spans) grows with the corpus; nothing of it is capped or sampled.
-
-The ``hot`` most frequent words (of at most 64 bytes, so the broadcast is bounded)
-are scored where the text is read; other occurrences are joined with the table
-of counts.
+and context say.  The ``own`` most frequent pieces are classes of their own, the
+others share some, by whether they begin a word.
+
+All is learned from the whole training part, nothing capped or sampled: counts of
+words, pieces and transitions are sums; the texts are dealt into ``rounds`` by a
+hash of the id, and each round's gradient, summed over all its texts, makes one
+step of the attention's parameters, so every text is learned from once.  In the
+same rounds the mixing weight is found that suits the training texts best, each
+word's own occurrence left out of its count.  No held-out text takes part.  Sums
+over tasks are all that is passed on: how rows lie in files or tasks changes a
+score by rounding only.
+
+A text is read in stretches of ``STRETCH`` words, each with a context of its own,
+so a long text needs no more memory than a short one.  Words have their whole
+spelling.  The ``hot`` most frequent words (of at most 64 bytes, so the broadcast is
+bounded) are scored where the text is read; other occurrences are joined with the
+table of counts.
 
 Nulls: a null text is an empty one, only an end.  A null id counts as the empty
 text for the split.  Repeated rows each give a row.  Without training rows every
@@ -31,69 +36,119 @@ result.  Only doc_id and text are read.
 from __future__ import annotations
 
 import base64
-import zlib
+import re
+import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from seqloom.llm.attention import Adam, Attention
+from seqloom.llm.attention import Adam, Attention, transitions, values_of
 from seqloom.llm.common import crc_mod, table, written
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Words that are read with one context.
+STRETCH = 8192
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 #: Stands for the end among words: no word holds a blank.
 END = b" "
+#: The class of the end, which also stands before every stretch.
+START = 0
+#: Pieces that are looked at together.
+_ROOM = 1 << 18
+#: What a worker has made of the last vocabulary and of the last broadcast.
 _ENCODERS: dict = {}
-#: Pieces of words that a worker has met, up to 200,000; starts anew when full.
-_PIECES: dict[bytes, list[int]] = {}
+_WORDS: dict = {}
 
 
-def encoder(name: str):
-    """Pieces of a word with its leading blank, as ids; long words in parts of
-    32 characters, so that no single piece search is long."""
-    path = SparkFiles.get(name)
-    if path not in _ENCODERS:
+class Encoder:
+    """Pieces of words, each with its leading blank; the end is the last piece."""
+
+    def __init__(self, path: str):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _PIECES.clear()
-        _ENCODERS[path] = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
-    encode = _ENCODERS[path].encode_ordinary
-
-    def pieces(word: bytes) -> list[int]:
-        got = _PIECES.get(word)
-        if got is None:
-            text = word.decode("utf-8", "replace")
-            if len(text) > 32:
-                return [x for k in range(0, len(text), 32) for x in encode(" " * (k == 0) + text[k : k + 32])]
-            got = encode(" " + text)
-            if len(_PIECES) >= 200_000:
-                _PIECES.clear()
-            _PIECES[word] = got
-        return got
-
-    return pieces
+        self.size = len(ranks) + 1
+        self.begins = np.zeros(self.size, bool)
+        self.begins[[k for piece, k in ranks.items() if piece.startswith(b" ")] + [self.size - 1]] = True
+        self.encode = tiktoken.Encoding("words", pat_str=r" [^ ]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def pieces(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of the words one after the other, and how many each has."""
+        spelled = [w for w in words if w != END]
+        ids = np.array(self.encode((b" " + b" ".join(spelled)).decode("utf-8", "replace")) if spelled else [], np.int64)
+        if len(spelled) < len(words):
+            # an end goes before the next word's first piece
+            first = np.append(np.flatnonzero(self.begins[ids]), len(ids))
+            before = np.cumsum([w != END for w in words])[[w == END for w in words]]
+            ids = np.insert(ids, first[before], self.size - 1)
+        return ids, np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids)))
+
+
+def encoder(name: str) -> Encoder:
+    path = SparkFiles.get(name)
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_LOWER).split() if text else []
 
 
-def _training(docs: DataFrame) -> DataFrame:
-    return docs.where(crc_mod("doc_id", 10) != 0).select("doc_id", F.col("text").cast("binary").alias("text"))
-
-
-def word_counts(docs: DataFrame, held: int = 300_000) -> DataFrame:
+def parts_of(text: bytes | None, step: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of about ``step`` bytes of text at a time, on to the next blank."""
+    at = 0
+    while at < len(text or b""):
+        end = at + step
+        if end < len(text):
+            blank = _BLANK.search(text, end)
+            end = blank.start() if blank else len(text)
+        yield words_of(text[at:end])
+        at = end
+
+
+def stretches(text: bytes | None, size: int = STRETCH) -> Iterator[list[bytes]]:
+    """``size`` words at a time; the last has the rest and the end."""
+    held: list[bytes] = []
+    for words in parts_of(text):
+        held += words
+        full = max(0, len(held) - 1) // size * size
+        for k in range(0, full, size):
+            yield held[k : k + size]
+        held = held[full:]
+    yield [*held, END]
+
+
+def gathered(stretched: Iterator[tuple], room: int = _ROOM) -> Iterator[list[tuple]]:
+    """(..., words) tuples in lists of about ``room`` words."""
+    held, size = [], 0
+    for x in stretched:
+        held.append(x)
+        size += len(x[-1])
+        if size >= room:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _training(docs: DataFrame, *more) -> DataFrame:
+    return docs.where(crc_mod("doc_id", 10) != 0).select(F.col("text").cast("binary").alias("text"), *more)
+
+
+def word_counts(docs: DataFrame, held: int = 200_000) -> DataFrame:
     """(word, n) over the training part, the end included.  Tasks sum what they
-    read before the shuffle, at most ``held`` words at a time."""
+    read before the shuffle, at most some ``held`` words at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -104,26 +159,44 @@ def word_counts(docs: DataFrame, held: int = 300_000) -> DataFrame:
             return b
 
         for b in batches:
-            for t in b.column(1).to_pylist():
-                counts.update(words_of(t))
+            for k in range(b.num_rows):
+                for words in parts_of(b.column(0)[k].as_py()):
+                    counts.update(words)
+                    if len(counts) >= held:
+                        yield out()
                 counts[END] += 1
-                if len(counts) >= held:
-                    yield out()
         yield out()
 
     return _training(docs).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, hot: int) -> tuple[list[bytes], np.ndarray]:
+    """At most ``hot`` words of 64 bytes or fewer, with their counts: all that are
+    at least so frequent, the bound found from a histogram of some hundred steps."""
+    short = counts.where(F.octet_length("word") <= 64).withColumn("step", F.floor(F.log2("n") * 8))
+    steps, held, least = short.groupBy("step").agg(F.count("*").alias("c")).orderBy(F.col("step").desc()).collect(), 0, None
+    for s in steps:
+        held += s.c
+        if held > hot:
+            break
+        least = s.step
+    if least is None:
+        return [], np.zeros(0, np.int64)
+    got = short.where(F.col("step") >= least).select(F.col("word").cast("binary").alias("word"), "n").toArrow().sort_by("word")
+    return got["word"].to_pylist(), got["n"].to_numpy()
+
+
 def piece_counts(counts: DataFrame, name: str, size: int) -> np.ndarray:
     """Occurrences of every piece, from the words' counts; one row for each piece
-    of the vocabulary comes to the driver.  The end is the last piece."""
+    of the vocabulary comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, sums = encoder(name), np.zeros(size, np.int64)
+        encode, sums = encoder(name), np.zeros(size, np.int64)
         for b in batches:
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k in [size - 1] if w == END else pieces(w):
-                    sums[k] += n
+            for lo in range(0, b.num_rows, 2048):
+                part = b.slice(lo, 2048)
+                ids, lengths = encode.pieces(part.column(0).to_pylist())
+                np.add.at(sums, ids, np.repeat(part.column(1).to_numpy(), lengths))
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["piece", "n"])
 
@@ -134,301 +207,226 @@ def piece_counts(counts: DataFrame, name: str, size: int) -> np.ndarray:
     return out
 
 
-def _word_spans(batches: Iterator[pa.RecordBatch], rounds: int, turn: int, span: int) -> Iterator[list[bytes]]:
-    """The word spans of every text that ``turn`` has, the end with a text's last
-    span.  Over turns 0 to ``rounds`` - 1 every span comes once."""
-    for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            k = (zlib.crc32(str(i).encode()) + turn) % rounds
-            if k and 2 * k * span > len(t or b"") + 1:
-                continue  # too short for so many words, each with a blank
-            ws = words_of(t)
-            last = max(1, -(-len(ws) // span)) - 1
-            for k in range(k, last + 1, rounds):
-                yield ws[k * span : (k + 1) * span] + [END] * (k == last)
-
-
-def _spans(batches: Iterator[pa.RecordBatch], encode, end: int, rounds: int, turn: int, span: int) -> Iterator[np.ndarray]:
-    for ws in _word_spans(batches, rounds, turn, span):
-        yield np.array([x for w in ws for x in ([end] if w == END else encode(w))], np.int64)
+class Pieces:
+    """Classes of pieces, each piece's share of its class, the classes' shares."""
+
+    def __init__(self, counts: np.ndarray, begins: np.ndarray, classes: int, own: int):
+        order = np.argsort(-counts, kind="stable")
+        order = order[order != len(counts) - 1]
+        self.of = np.zeros(len(counts), np.uint8)
+        self.of[order[: own - 1]] = np.arange(1, own)
+        rest, half = order[own - 1 :], (classes - own) // 2
+        self.of[rest] = own + np.where(begins[rest], 0, half) + np.arange(len(rest)) % half
+        self.of[-1] = START
+        smoothed = counts + 0.1
+        mass = np.bincount(self.of, smoothed, classes)
+        self.log_share = np.log(smoothed / mass[self.of])
+        self.own = mass / mass.sum()
 
 
-def profiles(docs: DataFrame, name: str, counts: np.ndarray, around: int = 32, step: int = 4096) -> np.ndarray:
-    """How often each piece stands after and before each of the ``around`` most
-    frequent ones (pieces, 2 around), over all neighbours in the training part;
-    ``step`` words are looked at together."""
-    end = len(counts) - 1
-    slot = np.full(len(counts), -1)
-    slot[np.argsort(-counts, kind="stable")[:around]] = np.arange(around)
-    shared = docs.sparkSession.sparkContext.broadcast(slot)
+class Words:
+    """By number, the classes of a word's pieces, the sum of their log shares and
+    the word's count.  The frequent words have the first numbers; others get the
+    next ones for the call only, and the count -1."""
+
+    def __init__(self, encode: Encoder, pieces: Pieces, words: list[bytes], counts: np.ndarray):
+        self.encode, self.pieces, self.counts = encode, pieces, counts
+        self.index = dict(zip(words, range(len(words)), strict=True))
+        self.spelled = self._spell(words)
+
+    def _spell(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [self.encode.pieces(words[k : k + 4096]) for k in range(0, len(words), 4096)]
+        ids, lengths = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        share = np.add.reduceat(self.pieces.log_share[ids], np.cumsum(lengths) - lengths) if len(ids) else np.zeros(0)
+        return self.pieces.of[ids], lengths, share
+
+    def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For words one after the other: their pieces' classes, how many each has,
+        the sums of log shares, and counts (-1: not at hand)."""
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        cold = np.flatnonzero(at < 0)
+        classes, lengths, share = self.spelled
+        if len(cold):
+            new = {w: len(self.index) + k for k, w in enumerate(dict.fromkeys(words[k] for k in cold.tolist()))}
+            at[cold] = [new[words[k]] for k in cold.tolist()]
+            more = self._spell(list(new))
+            classes, lengths, share = (np.concatenate([x, y]) for x, y in zip(self.spelled, more, strict=True))
+        n, ends = lengths[at], np.cumsum(lengths)
+        shift = (ends - lengths)[at] - (np.cumsum(n) - n)
+        counts = np.append(self.counts, -1)[np.minimum(at, len(self.counts))]
+        return classes[np.repeat(shift, n) + np.arange(n.sum())], n, share[at], counts
+
+
+def _words(shared, name: str) -> Words:
+    """The broadcast's words, made once a worker."""
+    key, pieces, words, counts = shared.value
+    if key not in _WORDS:
+        _WORDS.clear()
+        _WORDS[key] = Words(encoder(name), pieces, words, counts)
+    return _WORDS[key]
+
+
+def _binary(data: np.ndarray, per: np.ndarray) -> pa.Array:
+    """``per`` items of ``data`` a row, as bytes."""
+    offsets = np.concatenate([[0], np.cumsum(per)]) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(per), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def spelled(docs: DataFrame, shared, name: str, rounds: int, rare: float, per: float) -> DataFrame:
+    """(turn, classes, lengths, odds): a row for each stretch of the training part,
+    dealt into rounds by the id.  Bytes: the pieces' classes, how many pieces each
+    word has, and by what the log of its pieces' shares is above that of its share of
+    the tokens, its own occurrence left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, encode = shared.value, encoder(name)
-        sums = np.zeros(len(slot) * 2 * around, np.int64)
+        known = _words(shared, name)
         for b in batches:
-            for t in b.column(1).to_pylist():
-                ws, before_it = [*words_of(t), END], []
-                for lo in range(0, len(ws), step):
-                    ids = np.array(before_it + [x for w in ws[lo : lo + step] for x in ([end] if w == END else encode(w))], np.int64)
-                    before_it = [int(ids[-1])]
-                    before, after = slot[ids[:-1]], slot[ids[1:]]
-                    np.add.at(sums, ids[1:][before >= 0] * 2 * around + before[before >= 0], 1)
-                    np.add.at(sums, ids[:-1][after >= 0] * 2 * around + around + after[after >= 0], 1)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "n"])
+            turns = b.column(1).to_pylist()
+            rows = ((turns[k], ws) for k in range(b.num_rows) for ws in stretches(b.column(0)[k].as_py()))
+            for held in gathered(rows):
+                classes, n, share, counts = known.read(list(chain.from_iterable(ws for _, ws in held)))
+                odds = share - np.log(np.maximum(np.where(counts > 0, counts, rare) - 0.9, 0.1) * per)
+                words = np.array([len(ws) for _, ws in held])
+                pieces = np.add.reduceat(n, np.cumsum(words) - words)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t for t, _ in held], pa.int32()), _binary(classes, pieces), _binary(n.astype(np.int32), words), _binary(np.clip(odds, -6e4, 6e4).astype(np.float16), words)], ["turn", "classes", "lengths", "odds"]
+                )
+
+    turn = F.pmod(F.xxhash64(F.lit(3), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(rounds)).cast("int")
+    return _training(docs, turn.alias("turn")).mapInArrow(run, "turn int, classes binary, lengths binary, odds binary")
+
+
+def _sequences(batches: Iterator[pa.RecordBatch], room: int = _ROOM) -> Iterator[tuple[np.ndarray, ...]]:
+    """Classes, pieces of each stretch, pieces of each word and odds of some
+    stretches."""
+
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            for k in range(b.num_rows):
+                yield tuple(np.frombuffer(b.column(c)[k].as_py(), kind) for c, kind in ((1, np.int32), (2, np.float16), (0, np.uint8)))
 
-    out = np.zeros(len(counts) * 2 * around, np.float32)
-    got = _training(docs).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out[got["at"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(len(counts), 2 * around)
-
-
-def cluster(counts: np.ndarray, profile: np.ndarray, classes: int, own: int, rounds: int = 12) -> np.ndarray:
-    """A class for each piece: the end and the most frequent pieces are classes of
-    their own, the others are grouped by where they stand (k-means on the square
-    roots of their profiles' shares, weighted by frequency)."""
-    order = np.argsort(-counts, kind="stable")
-    order = order[order != len(counts) - 1]
-    of = np.zeros(len(counts), np.uint8)
-    of[order[: own - 1]] = np.arange(1, own)
-    rest, k = order[own - 1 :], classes - own
-    x = np.sqrt((profile[rest] + 0.02) / (profile[rest] + 0.02).sum(1, keepdims=True))
-    weight = counts[rest] + 1e-3
-    centres = x[:k].copy()
-    for _ in range(rounds):
-        label = (x @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
-        mass = np.bincount(label, weight, k)
-        for j in range(x.shape[1]):
-            sums = np.bincount(label, weight * x[:, j], k)
-            centres[:, j] = np.where(mass > 0, sums / np.maximum(mass, 1e-9), centres[:, j])
-    of[rest] = own + label
-    return of
+    for held in gathered(rows(), room):
+        lengths, odds, classes = zip(*held, strict=True)
+        yield np.concatenate(classes), np.array([len(x) for x in classes]), np.concatenate(lengths), np.concatenate(odds)
 
 
-class Pieces:
-    """Classes of pieces and each piece's share of its class."""
+def count_transitions(read: DataFrame, classes: int, distances: int, half: int) -> np.ndarray:
+    """Sums of the tasks' counts."""
 
-    def __init__(self, counts: np.ndarray, of: np.ndarray, classes: int):
-        self.of = of
-        smoothed = counts + 0.1
-        self.mass = np.bincount(self.of, smoothed, classes) + 1e-9
-        self.log_share = np.log(smoothed / self.mass[self.of])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((distances, classes, classes), np.int64)
+        for x, n, _, _ in _sequences(batches):
+            sums += transitions(x, n, START, classes, distances, 2 * half)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.ravel()[at])], ["at", "n"])
 
+    out = np.zeros(distances * classes * classes)
+    got = read.select("classes", "lengths", "odds").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(distances, classes, classes)
 
-class Words:
-    """Numbers for words and, by number, their pieces' classes, the sum of their
-    pieces' log shares and their count if they are known (-1 if not).  Starts anew
-    when ``cached`` words or 16 MB of them are held."""
-
-    def __init__(self, encode, of: np.ndarray, log_share: np.ndarray, counts: dict[bytes, int], cached: int):
-        self.encode, self.of, self.log_share, self.counts, self.cached = encode, of, log_share, counts, cached
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.held, self.share, self.known = 0, np.zeros(0), np.zeros(0, np.int64)
-        self.pieces, self.ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self.index) >= self.cached or self.held >= 1 << 24:
-            self._clear()
-        index = self.index
-        out = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
-        new = dict.fromkeys(words[k] for k in np.flatnonzero(out < 0).tolist())
-        if new:
-            ids = [np.array([len(self.of) - 1] if w == END else self.encode(w)) for w in new]
-            lengths, flat, at = np.array([len(x) for x in ids]), np.concatenate(ids), len(index)
-            self.share = np.r_[self.share, np.add.reduceat(self.log_share[flat], np.cumsum(lengths) - lengths)]
-            self.known = np.r_[self.known, [self.counts.get(w, -1) for w in new]]
-            self.pieces = np.r_[self.pieces, self.of[flat]]
-            self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(lengths)]
-            for k, w in enumerate(new):
-                index[w] = at + k
-            self.held += sum(map(len, new))
-            gone = np.flatnonzero(out < 0)
-            out[gone] = [index[words[k]] for k in gone.tolist()]
-        return out
-
-    def pieces_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pieces' classes of words one after the other, and how many each has."""
-        lengths = self.ends[numbers + 1] - self.ends[numbers]
-        shift = self.ends[numbers] - (np.cumsum(lengths) - lengths)
-        return self.pieces[np.repeat(shift, lengths) + np.arange(lengths.sum())], lengths
-
-
-def train(docs: DataFrame, name: str, pieces: Pieces, classes: int, rounds: int, span: int = 32) -> np.ndarray:
-    """Parameters averaged over the tasks after each round, weighted by the windows
-    they saw; over the rounds every span of every text is seen once."""
-    start = np.log(pieces.mass / pieces.mass.sum())
-    theta = Attention(classes, start=start).theta
-    sc = docs.sparkSession.sparkContext
-    for turn in range(rounds):
-        shared = sc.broadcast((theta, pieces.of))
-
-        def run(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
-            theta, of = shared.value
-            model, encode = Attention(classes, theta=theta), encoder(name)
-            adam, seen, held, lengths = Adam(model, 0.02 / (1 + turn)), 0, [], []
-            end = len(of) - 1
-
-            def learn() -> None:
-                nonlocal seen
-                ids = of[np.concatenate(held)]
-                inputs = np.empty_like(ids)
-                inputs[1:] = ids[:-1]
-                n = np.array(lengths)
-                inputs[np.cumsum(n) - n] = of[end]
-                at, there, scored = model.windows(n)
-                order = np.random.default_rng(seen).permutation(len(at))
-                for k in range(0, len(order), 256):
-                    w = order[k : k + 256]
-                    adam.step(inputs[at[w]], there[w], ids[at[w][:, model.half :]].astype(np.int64), scored[w])
-                seen += len(at)
-                held.clear(), lengths.clear()
-
-            for ids in _spans(batches, encode, end, rounds, turn, span):
-                if len(ids):
-                    held.append(ids)
-                    lengths.append(len(ids))
-                if len(held) >= 512:
-                    learn()
-            if held:
-                learn()
-            n = model.size
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(model.theta.astype(float) * seen), pa.array([float(seen)] * n)], ["at", "x", "n"])
-
-        rows = _training(docs).mapInArrow(run, "at int, x double, n double").groupBy("at").agg((F.sum("x") / F.when(F.sum("n") > 0, F.sum("n"))).alias("x")).collect()
-        theta = np.array(theta)
-        for at, x in rows:
-            if x is not None:
-                theta[at] = x
-    return theta
-
-
-def weigh(docs: DataFrame, words: Callable[[], Words], model: Callable[[], Attention], per: float, floor: float, rare: float, span: int = 32) -> float:
-    """The weight of a word's share that suits the spans of the training part best,
-    each word's own occurrence left out of its count (``rare`` where the count
-    isn't at hand)."""
-    grid = np.linspace(0.05, 0.95, 19)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, attention, sums, held = words(), model(), np.zeros(len(grid)), []
-
-        def add() -> None:
-            nonlocal sums
-            w = known.numbers(list(chain.from_iterable(held)))
-            flat, n = known.pieces_of(w)
-            of_span = np.add.reduceat(n, np.cumsum([len(x) for x in held]) - [len(x) for x in held])
-            p = np.exp(np.add.reduceat(attention.log_probs(flat, of_span, int(known.of[-1])), np.cumsum(n) - n, dtype=float) + known.share[w])
-            c = known.known[w]
-            base = np.maximum(np.where(c > 0, c, rare) - 1, 0) * per + floor
-            sums = sums + np.array([np.log(x * base + (1 - x) * p).sum() for x in grid])
-            held.clear()
-
-        for ws in _word_spans(batches, 1, 0, span):
-            if ws:
-                held.append(ws)
-            if len(held) >= 512:
-                add()
-        if held:
-            add()
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(sums)], ["at", "x"])
-
-    rows = _training(docs).mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).where("x < 0").collect()
-    return float(grid[max(rows, key=lambda r: r.x).at]) if rows else 0.5
-
-
-def score(docs: DataFrame, vocabulary: str = VOCABULARY, classes: int = 96, own: int = 32, hot: int = 131_072, rate: int = 2, word_share: float | None = None, cached: int = 200_000) -> DataFrame:
-    """One row a document; see the module's text.  A round of training takes one in
-    ``rate`` spans, and there are as many rounds as take every span once."""
+def train(read: DataFrame, values: np.ndarray, rounds: int, half: int) -> tuple[np.ndarray, float]:
+    """The attention's parameters after a step a round, and the weight of a word's
+    share of the tokens that suits all rounds' texts best."""
+    sc, grid = read.sparkSession.sparkContext, np.linspace(0.1, 0.9, 17)
+    model, fits = Attention(values, half=half), np.zeros(len(grid))
+    size, theta, adam = model.size, model.theta, Adam(model.size)
+    for turn in range(rounds):
+        shared = sc.broadcast((values, theta))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            values, theta = shared.value
+            model, gradient, fit, seen = Attention(values, half=half, theta=theta), np.zeros(size), np.zeros(len(grid)), 0
+            for x, n, lengths, odds in _sequences(batches):
+                lp, g = model.gradient(x, n, START)
+                gradient += g
+                seen += len(x)
+                # over the word's share of the tokens, which is the same for all weights
+                over = np.exp(np.minimum(np.add.reduceat(lp, np.cumsum(lengths) - lengths, dtype=float) + odds, 50))
+                fit += [np.log(w + (1 - w) * over).sum() for w in grid]
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + len(grid) + 1), pa.int32()), pa.array(np.r_[gradient, fit, seen])], ["at", "x"])
+
+        rows = read.where(F.col("turn") == turn).select("classes", "lengths", "odds").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+        shared.unpersist()
+        if rows.num_rows:
+            sums = np.zeros(size + len(grid) + 1)
+            sums[rows["at"].to_numpy()] = rows["x"].to_numpy()
+            theta = adam.step(theta, sums[:size] / sums[-1], 1 - 0.7 * turn / rounds)
+            fits += sums[size:-1]
+    return theta, float(grid[fits.argmax()]) if fits.any() else 0.5
+
+
+def score(docs: DataFrame, vocabulary: str = VOCABULARY, classes: int = 256, own: int = 224, distances: int = 4, half: int = 4, rounds: int = 8, hot: int = 262_144, word_share: float | None = None) -> DataFrame:
+    """One row a document; see the module's text.  ``classes``: 256 at most;
+    ``word_share``: the mixing weight, learned if None."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType
     spark.sparkContext.addFile(vocabulary)
     name = vocabulary.rsplit("/", 1)[-1]
-    with open(vocabulary, "rb") as f:
-        size = sum(1 for _ in f) + 1
+    here = Encoder(vocabulary)
     counts = written(word_counts(docs), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    per_piece = piece_counts(counts, name, size)
-    pieces = Pieces(per_piece, cluster(per_piece, profiles(docs, name, per_piece), classes, own), classes)
-    theta = train(docs, name, pieces, classes, rate)
-    frequent = counts.where(F.octet_length("word") <= 64).orderBy(F.col("n").desc(), "word").limit(hot).select(F.col("word").cast("binary").alias("word"), "n").toArrow()
-    frequent = dict(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist(), strict=True))
-    shared = spark.sparkContext.broadcast((theta, pieces.of, pieces.log_share, frequent))
-    floor = 0.1 / (total + 0.1 * (distinct + 1))
     per = 1.0 / (total + 0.1 * (distinct + 1))
-
-    def words() -> Words:
-        _, of, log_share, known = shared.value
-        return Words(encoder(name), of, log_share, known, cached)
-
-    def model() -> Attention:
-        return Attention(classes, theta=shared.value[0])
-
-    if word_share is None:
-        rare = (total - sum(frequent.values())) / max(1, distinct - len(frequent))
-        word_share = weigh(docs, words, model, per, floor, rare)
-    schema = f"uid long, word string, p double, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    floor = 0.1 * per
+    pieces = Pieces(piece_counts(counts, name, here.size), here.begins, classes, own)
+    frequent, n_frequent = frequent_words(counts, hot)
+    rare = (total - int(n_frequent.sum())) / max(1, distinct - len(frequent))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, pieces, frequent, n_frequent))
+    read = written(spelled(docs, shared, name, rounds, rare, per), "spelled", "turn")
+    values = values_of(count_transitions(read, classes, distances, half), pieces.own)
+    theta, best = train(read, values, rounds, half)
+    word_share = best if word_share is None else word_share
+    learned = spark.sparkContext.broadcast((values, theta))
+    arrow_kind = to_arrow_type(kind)
+    out = pa.schema([("uid", pa.int64()), ("word", pa.string()), ("p", pa.float64()), ("doc_id", arrow_kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, attention = words(), model()
-
-        def rows(uids, ids, held, texts) -> pa.RecordBatch:
-            docs = [[*words_of(t), END] for t in texts]
-            every = list(chain.from_iterable(docs))
-            w = known.numbers(every)
-            per_doc = np.array([len(d) for d in docs])
-            first = np.cumsum(per_doc) - per_doc
-            flat, n_pieces = known.pieces_of(w)
-            begin = np.cumsum(n_pieces) - n_pieces
-            lp = attention.log_probs(flat, np.add.reduceat(n_pieces, first), int(known.of[-1]))
-            p = np.exp(np.add.reduceat(lp, begin, dtype=float) + known.share[w])
-            n = known.known[w]
-            there = n >= 0
-            share = np.maximum(n, 0) * per + floor
-            base = np.where(there, np.log10(share), 0)
-            own = np.where(there, np.log10(word_share * share + (1 - word_share) * p), 0)
-            cold = np.flatnonzero(~there)
-            m, c, doc = len(docs), len(cold), np.repeat(np.arange(len(docs)), per_doc)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([uids, uids.take(pa.array(doc[cold]))]),
-                    pa.array([b" %d" % u for u in uids.to_pylist()] + [every[k] for k in cold.tolist()], pa.binary()).cast(pa.string()),
-                    pa.array(np.r_[np.zeros(m), p[cold]]),
-                    pa.concat_arrays([ids, pa.nulls(c, ids.type)]),
-                    pa.concat_arrays([held, pa.nulls(c, pa.bool_())]),
-                    pa.array([*per_doc.tolist(), *[None] * c], pa.int64()),
-                    pa.array(np.r_[np.add.reduceat(there.astype(np.int64), first), np.zeros(c, np.int64)]),
-                    pa.array(np.r_[np.add.reduceat(base, first), np.zeros(c)]),
-                    pa.array(np.r_[np.add.reduceat(own, first), np.zeros(c)]),
-                ],
-                schema=out,
-            )
-
-        out = pa.schema([("uid", pa.int64()), ("word", pa.string()), ("p", pa.float64()), ("doc_id", arrow_kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+        known, (values, theta) = _words(shared, name), learned.value
+        model = Attention(values, half=half, theta=theta)
         for b in batches:
-            # a MB of texts, or one text, at a time
-            sizes, lo, load = pc.binary_length(b.column(3)).fill_null(0).to_pylist(), 0, 0
-            for k, size in enumerate(sizes):
-                load += size + 50
-                if load > 1 << 20 or k == len(sizes) - 1:
-                    part = [b.column(i)[lo : k + 1] for i in range(4)]
-                    yield rows(*part[:3], part[3].to_pylist())
-                    lo, load = k + 1, 0
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow_kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    read = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    parts = read.mapInArrow(run, schema).join(counts.withColumnRenamed("n", "c"), "word", "left")
+            rows = ((k, ws) for k in range(b.num_rows) for ws in stretches(b.column(3)[k].as_py()))
+            for held in gathered(rows, _ROOM // 4):
+                every = list(chain.from_iterable(ws for _, ws in held))
+                x, n, share, c = known.read(every)
+                words = np.array([len(ws) for _, ws in held])
+                first = np.cumsum(words) - words
+                lp = model.log_probs(x, np.add.reduceat(n, first), START)
+                p = np.exp(np.add.reduceat(lp, np.cumsum(n) - n, dtype=float) + share)
+                there = c > 0
+                base = np.where(there, c, 0) * per + floor
+                m, cold = len(held), np.flatnonzero(~there)
+                of = pa.array(np.concatenate([[k for k, _ in held], np.repeat([k for k, _ in held], words)[cold]]).astype(np.int64))
+                sums = lambda t: np.add.reduceat(np.where(there, t, 0), first)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).take(of),
+                        pa.array([b" %d" % u for u in b.column(0).take(of[:m]).to_pylist()] + [every[k] for k in cold.tolist()], pa.binary()).cast(pa.string()),
+                        pa.array(np.r_[np.zeros(m), p[cold]]),
+                        pa.concat_arrays([b.column(1).take(of[:m]), pa.nulls(len(cold), arrow_kind)]),
+                        pa.concat_arrays([b.column(2).take(of[:m]), pa.nulls(len(cold), pa.bool_())]),
+                        pa.array([*words.tolist(), *[None] * len(cold)], pa.int64()),
+                        pa.array(np.r_[sums(1), np.zeros(len(cold), np.int64)]),
+                        pa.array(np.r_[sums(np.log10(base)), np.zeros(len(cold))]),
+                        pa.array(np.r_[sums(np.log10(word_share * base + (1 - word_share) * p)), np.zeros(len(cold))]),
+                    ],
+                    schema=out,
+                )
+
+    schema = f"uid long, word string, p double, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    texts = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    # a row for each stretch, with what is known there, and one for each other word
+    parts = texts.mapInArrow(run, schema).join(counts.withColumnRenamed("n", "c"), "word", "left")
     is_word, c = F.col("n_tokens").isNull(), F.coalesce("c", F.lit(0))
+    share = c * F.lit(per) + F.lit(floor)
     parts = parts.select(
         "uid", "doc_id", "held_out", "n_tokens",
         F.when(is_word, (c > 0).cast("long")).otherwise(F.col("n_known")).alias("n_known"),
-        F.when(is_word, F.log10(c * F.lit(per) + F.lit(floor))).otherwise(F.col("base_score")).alias("base_score"),
-        F.when(is_word, F.log10(F.lit(word_share) * (c * F.lit(per) + F.lit(floor)) + F.lit(1 - word_share) * F.col("p"))).otherwise(F.col("score")).alias("score"),
+        F.when(is_word, F.log10(share)).otherwise(F.col("base_score")).alias("base_score"),
+        F.when(is_word, F.log10(F.lit(word_share) * share + F.lit(1 - word_share) * F.col("p"))).otherwise(F.col("score")).alias("score"),
     )
-    sums = parts.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
+    sums = parts.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")])
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
