@@ -6,6 +6,11 @@ sums emission probabilities by token class, then goes back from the suffix one
 token at a time; the tables are small (lengths x states x hidden states) and
 travel with the tasks.  Without a suffix nothing marks the end: a suffix should
 end in the stop token.  If nothing can satisfy the constraint, it says so.
+
+Rows of a batch are read side by side, token by token.  Missing and unknown tokens
+follow the rule in ``seqloom.hmm.batches``: summed over by the model, read as a
+token that no constraint names by the automaton; after a token beyond the
+vocabulary every probability is 0.  Null tokens are empty ones.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from pyspark.sql import functions as F
 from seqloom.dfa import Dfa
 from seqloom.dfa.execute import matches
 from seqloom.hmm import Hmm
+from seqloom.hmm.batches import grouped
+from seqloom.hmm.inference import emissions
 
 
 @dataclass(frozen=True)
@@ -83,58 +90,84 @@ class Constraint:
                 out.append(s)
         return out
 
+    def read(self, a: np.ndarray, q: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next hidden state's probabilities and the automaton's state after the
+        rows' first ``n`` tokens, from those before."""
+        table = np.array(self.dfa.step)
+        most = max([self.hmm.tokens - 1, *(t for t in self.dfa.classes if isinstance(t, int))])
+        classes = np.array([self.dfa.classes.get(t, 0) for t in range(most + 1)] + [0])
+        for t in range(x.shape[1]):
+            e = a * emissions(self.hmm, x[:, t])
+            after = (e / np.maximum(e.sum(1), 1e-300)[:, None]) @ self.hmm.move
+            there = n > t
+            a = np.where(there[:, None], after, a)
+            known = (x[:, t] >= 0) & (x[:, t] <= most)
+            q = np.where(there, table[q, classes[np.where(known, x[:, t], most + 1)]], q)
+        return a, q
+
     def next(self, prefix: list[int], tokens: list[int], sums: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(w and the constraint | prefix, tokens), P(w | prefix, tokens) for every w."""
-        a = self.hmm.start
-        for w in [*prefix, *tokens]:
-            a = a * self.hmm.emit[:, w]
-            a = (a / max(a.sum(), 1e-300)) @ self.hmm.move
-        held = a[:, None] * self.hmm.emit
-        num, n = np.zeros(self.hmm.tokens), len(tokens)
-        if n < self.most:
-            q = 0
-            for w in tokens:
-                q = self.dfa.next(q, w)
-            for w in range(self.hmm.tokens):
-                num[w] = held[:, w] @ sums[n, self.dfa.next(q, w)]
-        for s in self.overlaps(tokens):
-            if s < len(self.suffix):
-                num[self.suffix[s]] += a @ costs[s]
-        return num, held.sum(0)
-
-
-def satisfaction(df: DataFrame, constraint: Constraint, key: str, tokens: str = "tokens") -> DataFrame:
+        x = np.array([prefix], np.int64).reshape(1, -1)
+        a, _ = self.read(self.hmm.start[None, :], np.zeros(1, np.int64), x, np.array([x.shape[1]]))
+        num, den = self.after(a, [tokens], sums, costs)
+        return num[0], den[0]
+
+    def after(self, a: np.ndarray, tokens: list[list[int]], sums: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``next`` for many rows: ``a`` holds what their prefixes leave."""
+        n = np.array([len(t) for t in tokens], np.int64)
+        x = np.full((len(n), int(n.max(initial=0))), -1, np.int64)
+        for k, t in enumerate(tokens):
+            x[k, : n[k]] = [-1 if w is None else w for w in t]
+        a, q = self.read(a, np.zeros(len(n), np.int64), x, n)
+        held, num = a[:, :, None] * self.hmm.emit, np.zeros((len(n), self.hmm.tokens))
+        for w in range(self.hmm.tokens):
+            then = np.array([self.dfa.next(s, w) for s in range(len(self.dfa.step))])[q]
+            open_ = n < self.most
+            num[open_, w] = np.einsum("ri,ri->r", held[open_, :, w], sums[n[open_], then[open_]])
+        for k, t in enumerate(tokens):
+            for s in self.overlaps(t):
+                if s < len(self.suffix):
+                    num[k, self.suffix[s]] += a[k] @ costs[s]
+        return num, held.sum(1)
+
+
+def satisfaction(df: DataFrame, constraint: Constraint, key: str, tokens: str = "tokens", least: str | None = None, most: str | None = None) -> DataFrame:
     """(key, p, feasible): P(the constraint is met by least..most tokens after
-    ``tokens`` | tokens), the tokens being read by model and automaton alike."""
-    c = constraint.from_first()[constraint.least : constraint.most + 1].sum(0)
-    hmm, dfa, kind = constraint.hmm, constraint.dfa, df.schema[key].dataType.simpleString()
+    ``tokens`` | tokens), the tokens being read by model and automaton alike.
+    ``least`` and ``most`` name columns with a range for each row, within 0 and the
+    constraint's ``most``; null takes the constraint's own."""
+    upto = np.concatenate([np.zeros((1, len(constraint.dfa.step), constraint.hmm.states)), np.cumsum(constraint.from_first(), 0)])
+    hmm, kind = constraint.hmm, df.schema[key].dataType.simpleString()
+    bound = lambda name, own: (F.lit(own) if name is None else F.coalesce(F.col(name), F.lit(own))).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for row in b.column(1).to_pylist():
-                a, q = hmm.start, 0
-                for w in row or ():
-                    a = a * hmm.emit[:, w]
-                    a = (a / max(a.sum(), 1e-300)) @ hmm.move
-                    q = dfa.next(q, w)
-                out.append(float(a @ c[q]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64()), pa.array([x > 0 for x in out], pa.bool_())], [key, "p", "feasible"])
+            p, lo, hi = np.zeros(b.num_rows), b.column(2).to_numpy(), b.column(3).to_numpy()
+            if ((lo < 0) | (hi > constraint.most)).any():
+                raise ValueError(f"ranges have to lie between 0 and {constraint.most}")
+            for rows, x, n in grouped(b.column(1), hmm.states):
+                a, q = constraint.read(np.tile(hmm.start, (len(rows), 1)), np.zeros(len(rows), np.int64), x, n)
+                some = np.maximum(upto[hi[rows] + 1, q] - upto[np.minimum(lo[rows], hi[rows] + 1), q], 0)
+                p[rows] = (a * some).sum(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(p > 0)], [key, "p", "feasible"])
 
-    return df.select(key, tokens).mapInArrow(run, f"{key} {kind}, p double, feasible boolean")
+    return df.select(key, tokens, bound(least, constraint.least), bound(most, constraint.most)).mapInArrow(run, f"{key} {kind}, p double, feasible boolean")
 
 
-def next_tokens(df: DataFrame, constraint: Constraint, key: str, prefix: str = "prefix", tokens: str = "tokens") -> DataFrame:
-    """(key, token, num, den)"""
+def next_tokens(df: DataFrame, constraint: Constraint, key: str, prefix: str = "prefix", tokens: str = "tokens", step: int = 1024) -> DataFrame:
+    """(key, token, num, den); ``step`` rows are looked at together."""
     sums, costs, kind = constraint.range_sums(), constraint.suffix_costs(), df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = constraint.hmm.tokens
-        for b in batches:
-            rows = [constraint.next(p or [], t or [], sums, costs) for p, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            keys = b.column(0).take(pa.array(np.repeat(np.arange(len(rows)), v)))
-            num, den = (np.concatenate([r[k] for r in rows] or [np.zeros(0)]) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(np.arange(v, dtype=np.int32), len(rows))), pa.array(num), pa.array(den)], [key, "token", "num", "den"])
+        for whole in batches:
+            for b in (whole.slice(k, step) for k in range(0, whole.num_rows, step)):
+                a = np.zeros((b.num_rows, constraint.hmm.states))
+                for rows, x, n in grouped(b.column(1), constraint.hmm.states):
+                    a[rows], _ = constraint.read(np.tile(constraint.hmm.start, (len(rows), 1)), np.zeros(len(rows), np.int64), x, n)
+                num, den = constraint.after(a, [t or [] for t in b.column(2).to_pylist()], sums, costs)
+                keys = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), v)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(np.arange(v, dtype=np.int32), b.num_rows)), pa.array(num.ravel()), pa.array(den.ravel())], [key, "token", "num", "den"])
 
     return df.select(key, prefix, tokens).mapInArrow(run, f"{key} {kind}, token int, num double, den double")
 
@@ -152,7 +185,8 @@ def reweight(scores: DataFrame, key: str, alpha: float = 1.0, temperature: float
     """(key, token, logp): base scores (logit) made probabilities, shifted by
     alpha (log num - log den), and made probabilities again, before and after the
     temperature.  Ended rows take the temperature alone; tokens that cannot lead
-    on are banned; ``feasible`` tells rows in which none can."""
+    on are banned, and so are those without ``num`` and ``den``, which the model
+    doesn't know; ``feasible`` tells rows in which none can."""
     of = Window.partitionBy(key)
 
     def normal(x: Column) -> Column:
@@ -160,12 +194,13 @@ def reweight(scores: DataFrame, key: str, alpha: float = 1.0, temperature: float
         return x - top - F.log(F.sum(F.exp(x - top)).over(of))
 
     logs = lambda p: F.when(p > 0, F.log(p)).otherwise(F.lit(-1e30))
+    shift = F.when(F.col("num") > 0, logs(F.col("num")) - logs(F.col("den"))).otherwise(F.lit(-1e30))
     df = scores.withColumn("_base", normal(F.col("logit")))
-    df = df.withColumn("_shift", F.lit(alpha) * (logs(F.col("num")) - logs(F.col("den"))))
+    df = df.withColumn("_shift", F.lit(alpha) * shift)
     stays = ended if ended is not None else F.lit(False)
     df = df.withColumn("_x", F.when(stays, F.col("_base")).otherwise(F.col("_base") + F.col("_shift")))
     df = df.withColumn("_x", normal(F.col("_x")) / F.lit(temperature))
-    return df.select(key, "token", normal(F.col("_x")).alias("logp"), (F.max("num").over(of) > 0).alias("feasible"))
+    return df.select(key, "token", normal(F.col("_x")).alias("logp"), F.coalesce(F.max("num").over(of) > 0, F.lit(False)).alias("feasible"))
 
 
 def decode(df: DataFrame, constraint: Constraint, key: str, prefix: str = "prefix", beam: int = 1) -> DataFrame:
@@ -173,16 +208,16 @@ def decode(df: DataFrame, constraint: Constraint, key: str, prefix: str = "prefi
     itself, each next token weighed by its probability given the constraint.
     Null where the constraint cannot be met."""
     sums, costs, kind = constraint.range_sums(), constraint.suffix_costs(), df.schema[key].dataType.simpleString()
-    goal = len(constraint.suffix)
+    goal, hmm = len(constraint.suffix), constraint.hmm
 
-    def search(start: list[int]) -> tuple[list[int] | None, float | None]:
+    def search(a: np.ndarray) -> tuple[list[int] | None, float | None]:
         beams, done = [([], 0.0)], []
         for _ in range(constraint.most + goal):
+            nums, _ = constraint.after(np.tile(a, (len(beams), 1)), [t for t, _ in beams], sums, costs)
             grown = []
-            for tokens, lp in beams:
-                num, _ = constraint.next(start, tokens, sums, costs)
-                if num.sum() > 0:
-                    grown += [(tokens + [w], lp + float(np.log(num[w] / num.sum()))) for w in range(len(num)) if num[w] > 0]
+            for (tokens, lp), num in zip(beams, nums, strict=True):
+                if (total := num.sum()) > 0:
+                    grown += [([*tokens, w], lp + float(np.log(num[w] / total))) for w in np.flatnonzero(num).tolist()]
             grown.sort(key=lambda x: (-x[1], x[0]))
             beams = grown[:beam]
             done += [x for x in beams if goal in constraint.overlaps(x[0])] if goal else []
@@ -194,7 +229,11 @@ def decode(df: DataFrame, constraint: Constraint, key: str, prefix: str = "prefi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [search(p or []) for p in b.column(1).to_pylist()]
+            found = [None] * b.num_rows
+            for rows, x, n in grouped(b.column(1), hmm.states):
+                a, _ = constraint.read(np.tile(hmm.start, (len(rows), 1)), np.zeros(len(rows), np.int64), x, n)
+                for k, r in enumerate(rows.tolist()):
+                    found[r] = search(a[k])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.float64())], [key, "tokens", "logp"])
 
     return df.select(key, prefix).mapInArrow(run, f"{key} {kind}, tokens array<int>, logp double")

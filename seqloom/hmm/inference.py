@@ -1,9 +1,9 @@
 """Likelihood, prefix states, posteriors and expected counts.
 
 Small models run as a fold in an expression; larger ones and everything that
-looks back over a sequence run in NumPy on Arrow batches, all sequences of a
-batch side by side.  Scaling: the vector over states is normalised at every token
-and the logarithms of the norms are summed.
+looks back over a sequence run in NumPy on Arrow batches, sequences of like length
+side by side (see ``batches`` for missing and unknown tokens).  Scaling: the vector
+over states is normalised at every token and the logarithms of the norms are summed.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.hmm.batches import grouped
 from seqloom.hmm.model import LOG_ZERO, Hmm
 
 #: Models up to this many states are folded in an expression.
@@ -33,8 +34,9 @@ def fold(tokens: Column, hmm: Hmm) -> Column:
     known = lambda t: t.isNotNull() & (t >= 0)
 
     def seen(a: Column, t: Column) -> Column:
-        here = F.slice(emit, F.when(known(t), t * h).otherwise(0) + 1, h)
-        return F.when(known(t), F.zip_with(a, here, lambda p, q: p * q)).otherwise(a)
+        inside = known(t) & (t < hmm.tokens)
+        here = F.slice(emit, F.when(inside, t * h).otherwise(0) + 1, h)
+        return F.when(inside, F.zip_with(a, here, lambda p, q: p * q)).when(known(t), F.transform(a, lambda p: F.lit(0.0))).otherwise(a)
 
     def total(a: Column) -> Column:
         return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -52,17 +54,11 @@ def fold(tokens: Column, hmm: Hmm) -> Column:
     return F.aggregate(tokens, first, step)
 
 
-def _batch(tokens: list[list[int | None] | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences filled up at their ends with missing tokens, and their lengths."""
-    n = np.array([len(t or ()) for t in tokens])
-    out = np.full((len(tokens), max(1, n.max(initial=1))), -1)
-    for k, t in enumerate(tokens):
-        out[k, : n[k]] = [-1 if x is None else x for x in t or ()]
-    return out, n
-
-
-def _emissions(hmm: Hmm, w: np.ndarray) -> np.ndarray:
-    return np.where((w >= 0)[:, None], hmm.emit.T[np.maximum(w, 0)], 1.0)
+def emissions(hmm: Hmm, w: np.ndarray) -> np.ndarray:
+    """(n, H): the probabilities of tokens in each state."""
+    out = hmm.emit.T[np.clip(w, 0, hmm.tokens - 1)]
+    out[w < 0], out[w >= hmm.tokens] = 1.0, 0.0
+    return out
 
 
 def forward(hmm: Hmm, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -70,7 +66,7 @@ def forward(hmm: Hmm, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     tokens at the end change nothing."""
     a, ll, out = np.tile(hmm.start, (len(x), 1)), np.zeros(len(x)), []
     for t in range(x.shape[1]):
-        e = a * _emissions(hmm, x[:, t])
+        e = a * emissions(hmm, x[:, t])
         n = e.sum(1)
         ll += np.where(n > 0, np.log(np.where(n > 0, n, 1)), LOG_ZERO)
         e /= np.where(n > 0, n, 1)[:, None]
@@ -89,7 +85,7 @@ def backward(hmm: Hmm, x: np.ndarray, filtered: list[np.ndarray]) -> Iterator[tu
         p /= np.maximum(p.sum(1), 1e-300)[:, None]
         yield t, p, pair
         if t:
-            later = _emissions(hmm, x[:, t]) * b
+            later = emissions(hmm, x[:, t]) * b
             pair = filtered[t - 1][:, :, None] * hmm.move[None] * later[:, None, :]
             pair /= np.maximum(pair.sum((1, 2)), 1e-300)[:, None, None]
             b = later @ hmm.move.T
@@ -104,50 +100,56 @@ def log_likelihood(df: DataFrame, hmm: Hmm, key: str, tokens: str = "tokens") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.column(1).to_pylist()
-            x, _ = _batch(rows)
-            ll = [None if t is None else v for t, v in zip(rows, forward(hmm, x)[1].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ll, pa.float64())], [key, "ll"])
+            ll = np.zeros(b.num_rows)
+            for rows, x, _ in grouped(b.column(1), hmm.states):
+                ll[rows] = forward(hmm, x)[1]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ll, mask=b.column(1).is_null().to_numpy(zero_copy_only=False))], [key, "ll"])
 
     return df.select(key, tokens).mapInArrow(run, f"{key} {kind}, ll double")
 
 
 def posterior(df: DataFrame, hmm: Hmm, key: str, tokens: str = "tokens") -> DataFrame:
-    """(key, pos, i, p): P(state i at place pos | all tokens)."""
+    """(key, pos, i, p): P(state i at place pos | all tokens); 0 for all states of a
+    sequence that the model can't emit."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, n = _batch(b.column(1).to_pylist())
-            for t, p, _ in backward(hmm, x, forward(hmm, x)[0]):
-                rows = np.flatnonzero(n > t)
-                keys = b.column(0).take(pa.array(np.repeat(rows, hmm.states)))
-                states = np.tile(np.arange(hmm.states, dtype=np.int32), len(rows))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(states), t, np.int32)), pa.array(states), pa.array(p[rows].ravel())], [key, "pos", "i", "p"])
+            for group, x, n in grouped(b.column(1), hmm.states**2):
+                for t, p, _ in backward(hmm, x, forward(hmm, x)[0]):
+                    rows = np.flatnonzero(n > t)
+                    keys = b.column(0).take(pa.array(np.repeat(group[rows], hmm.states)))
+                    states = np.tile(np.arange(hmm.states, dtype=np.int32), len(rows))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(states), t, np.int32)), pa.array(states), pa.array(p[rows].ravel())], [key, "pos", "i", "p"])
 
     return df.select(key, tokens).mapInArrow(run, f"{key} {kind}, pos int, i int, p double")
 
 
 def flows(df: DataFrame, hmm: Hmm, tokens: str = "tokens") -> DataFrame:
     """(kind, i, k, mass): expected counts of starts (k null), moves i -> k and
-    emissions of token k, k = the vocabulary's size for missing tokens.  A task
-    sums its sequences, the shuffle only sums tasks."""
+    emissions of token k, k = the vocabulary's size for missing tokens.  A sequence
+    that the model can't emit counts nothing.  A task sums its sequences, the
+    shuffle only sums tasks."""
     h, v = hmm.states, hmm.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, emit = np.zeros(h), np.zeros((h, h)), np.zeros((h, v + 1))
+        start, move, emit = np.zeros(h), np.zeros((h, h)), np.zeros((v + 1, h))
         for b in batches:
-            x, n = _batch(b.column(0).to_pylist())
-            for t, p, pair in backward(hmm, x, forward(hmm, x)[0]):
-                if pair is not None:
-                    move += pair[n > t + 1].sum(0)
-                there = n > t
-                np.add.at(emit.T, np.where(x[there, t] < 0, v, x[there, t]), p[there])
-                if t == 0:
-                    start += p[there].sum(0)
-        out = [("gamma", i, None, start[i]) for i in range(h)] + [("alpha", i, j, move[i, j]) for i in range(h) for j in range(h)] + [("beta", i, w, emit[i, w]) for i in range(h) for w in range(v + 1)]
-        kinds, i, k, mass = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(i, pa.int32()), pa.array(k, pa.int32()), pa.array(mass, pa.float64())], ["kind", "i", "k", "mass"])
+            for _, x, n in grouped(b.column(0), h * h):
+                possible = (x < v).all(1)
+                x, n = x[possible], n[possible]
+                for t, p, pair in backward(hmm, x, forward(hmm, x)[0]):
+                    if pair is not None:
+                        move += pair[n > t + 1].sum(0)
+                    there = n > t
+                    np.add.at(emit, np.where(x[there, t] < 0, v, x[there, t]), p[there])
+                    if t == 0:
+                        start += p[there].sum(0)
+        place = lambda a, b: (np.repeat(np.arange(a, dtype=np.int32), b), np.tile(np.arange(b, dtype=np.int32), a))
+        parts = [("gamma", np.arange(h, dtype=np.int32), None, start), ("alpha", *place(h, h), move.ravel()), ("beta", *place(h, v + 1), emit.T.ravel())]
+        for kind, i, k, mass in parts:
+            second = pa.nulls(len(i), pa.int32()) if k is None else pa.array(k)
+            yield pa.RecordBatch.from_arrays([pa.repeat(kind, len(i)), pa.array(i), second, pa.array(mass)], ["kind", "i", "k", "mass"])
 
     return df.select(tokens).mapInArrow(run, "kind string, i int, k int, mass double").groupBy("kind", "i", "k").agg(F.sum("mass").alias("mass"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom.hmm.inference import flows, log_likelihood
 from seqloom.hmm.model import Hmm
+from seqloom.sources.files import append_log
 
 
 def dropout(tokens: Column, key: Column, stop: int, rate: float, seed: int = 1) -> Column:
@@ -73,16 +74,22 @@ def schedule(text: str, chunks: int) -> list[list[int]]:
 
 
 def fit(
-    sequences: DataFrame, hmm: Hmm, plan: list[list[int]], stop: int, pseudocount: float = 1e-3, dev: DataFrame | None = None, save: Callable[[int, Hmm], None] | None = None, every: int = 1
+    sequences: DataFrame, hmm: Hmm, plan: list[list[int]], stop: int, pseudocount: float = 1e-3, dev: DataFrame | None = None, save: Callable[[int, Hmm], None] | None = None, every: int = 1, log_path: str | None = None
 ) -> tuple[Hmm, list[tuple[int, float]]]:
     """EM over ``sequences`` (chunk, tokens): a filter on the chunk column prunes
-    folders.  Returns the model and (step, mean log likelihood of ``dev``)."""
+    folders.  Returns the model and (step, mean log likelihood of ``dev``).
+    ``log_path``: a table to which each step appends step, train_ll and dev_ll, means
+    over the step's sequences and over ``dev`` (no number without)."""
     log = []
+    mean = lambda df: log_likelihood(df.withColumn("_k", F.lit(0)), hmm, "_k").agg(F.avg("ll")).first()[0]
     for n, chunks in enumerate(plan, 1):
-        hmm = step(sequences.where(F.col("chunk").isin(*chunks)), hmm, stop, pseudocount)
+        rows = sequences.where(F.col("chunk").isin(*chunks))
+        hmm = step(rows, hmm, stop, pseudocount)
         if dev is not None:
-            ll = log_likelihood(dev.withColumn("_k", F.lit(0)), hmm, "_k").agg(F.avg("ll")).first()[0]
-            log.append((n, ll))
+            log.append((n, mean(dev)))
+        if log_path:
+            train_ll = mean(rows)
+            append_log(sequences.sparkSession, log_path, {"step": n, "train_ll": float("nan") if train_ll is None else train_ll, "dev_ll": log[-1][1] if log and log[-1][1] is not None else float("nan")})
         if save and n % every == 0:
             save(n, hmm)
     return hmm, log

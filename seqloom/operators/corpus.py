@@ -24,6 +24,11 @@ def sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(shuffled(F.col(key)), key).limit(n)
 
 
+def drop_missing(df: DataFrame, generated: str) -> DataFrame:
+    """``df`` without the rows for which nothing was generated."""
+    return df.dropna(subset=[generated])
+
+
 def replicate(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
 

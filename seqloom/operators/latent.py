@@ -17,6 +17,16 @@ def positions(df: DataFrame, stop: int) -> DataFrame:
     return marked.where(F.col("_end").isNull() | (F.col("pos") < F.col("_end"))).drop("_end")
 
 
+def predicting(df: DataFrame, prompt: int, output: int) -> DataFrame:
+    """(seq_id, pos, token, embedding) of the ``output`` tokens after a prompt of
+    ``prompt``, each with the embedding at the place before it, which predicts it.
+    ``df`` has a row for each place, from 0; a token without one before has none."""
+    states = df.select(F.col("seq_id").alias("of"), (F.col("pos") + 1).alias("next"), F.col("embedding").alias("state"))
+    rows = df.where((F.col("pos") >= prompt) & (F.col("pos") < prompt + output))
+    rows = rows.join(states, (F.col("seq_id") == F.col("of")) & (F.col("pos") == F.col("next")), "left")
+    return rows.select("seq_id", (F.col("pos") - prompt).alias("pos"), "token", F.col("state").alias("embedding"))
+
+
 def _distance(vector: Column, centre: list[float]) -> Column:
     c = F.expr("array(" + ", ".join(f"{x!r}D" for x in centre) + ")")
     return F.aggregate(F.zip_with(vector, c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)

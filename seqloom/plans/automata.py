@@ -78,6 +78,13 @@ def dfa_state_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.state_groups(*_graph(spark))
 
 
+def dfa_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even states renamed, a state copied, and all numbered anew."""
+    edges, states = _graph(spark)
+    names = states.where("state % 2 = 0").select("state", (F.col("state") * 10 + 100).alias("name"))
+    return graph.reindex(graph.copy_state(graph.relabel(edges, names), 1, 500))
+
+
 def dfa_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, _ = _graph(spark)
     states = edges.select(F.col("src").alias("s")).union(edges.select("dst")).agg(F.count_distinct("s").alias("n_states"))
@@ -110,6 +117,7 @@ def queries():
         "dfa_reachable": dfa_reachable,
         "dfa_live_states": dfa_live_states,
         "dfa_state_groups": dfa_state_groups,
+        "dfa_relabel": dfa_relabel,
         "dfa_size": dfa_size,
         "dfa_legal_tokens": dfa_legal_tokens,
     }
@@ -156,6 +164,9 @@ def oracle_sql():
             union select x.src, y.src from apart join e x on x.dst = apart.p join e y on y.dst = apart.q and y.cls = x.cls)
             select state, cast(dense_rank() over (order by least) - 1 as int) as grp from (
             select a.state, min(b.state) as least from s a, s b where not exists (select 1 from apart where p = a.state and q = b.state) group by 1)""",
+        "dfa_relabel": f"""{graph_sql}, r as (select case when src % 2 = 0 then src * 10 + 100 else src end as src, cls, case when dst % 2 = 0 then dst * 10 + 100 else dst end as dst from e),
+            c as (select * from r union all select 500, cls, dst from r where src = 1), k as (select s, cast(row_number() over (order by s) - 1 as int) as n from (select src as s from c union select dst from c))
+            select a.n as src, cls, b.n as dst from c join k a on a.s = c.src join k b on b.s = c.dst""",
         "dfa_size": f"{graph_sql} select (select count(distinct x) from (select src as x from e union all select dst from e)) as n_states, (select count(distinct (src, dst)) from e) as n_edges",
         "dfa_legal_tokens": f"""with {events}, f as (select user_id, max(case when token = 1 and before = 1 then 1 else 0 end) as broken, max_by(token, pos) as last
               from (select *, lag(token) over (partition by user_id order by pos) as before from ev) group by 1)

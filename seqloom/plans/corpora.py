@@ -85,17 +85,25 @@ def encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(back, "item_id", "left").select("item_id", F.array_join("ids", ",").alias("ids"), "text")
 
 
+def drop_null_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' purchases as what was generated; without any, nothing was."""
+    ev = streams.table(spark, sf_dir, "events")
+    held = ev.groupBy("user_id").agg(F.array_sort(F.collect_list(F.when(F.col("event_type") == "purchase", F.col("event_id")))).alias("ids"))
+    rows = held.select("user_id", F.when(F.size("ids") > 0, F.array_join("ids", ",")).alias("generated"))
+    return corpus.drop_missing(rows, "generated")
+
+
 def seq_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether prompt and output make up the full sequence; every seventh has a
     token changed."""
     rows = streams.label_sequences(spark, sf_dir)
-    prompt, output = F.slice("tokens", 1, 3), F.expr("slice(tokens, 4, 100)")
-    full = F.when(F.col("seq_id") % 7 == 0, F.concat(F.array(F.lit(-1)), F.expr("slice(tokens, 2, 100)"))).otherwise(F.col("tokens"))
+    prompt, output = F.slice("tokens", 1, 3), F.expr("slice(tokens, 4, size(tokens))")
+    full = F.when(F.col("seq_id") % 7 == 0, F.concat(F.array(F.lit(-1)), F.expr("slice(tokens, 2, size(tokens))"))).otherwise(F.col("tokens"))
     return rows.select("seq_id", (F.concat(prompt, output) == F.slice(full, 1, F.size(F.concat(prompt, output)))).alias("whole"))
 
 
 def queries():
-    own = (prompt_template, nested_project, shuffle_limit, head_limit, replicate, pad_sequences, chunk_union, eos_tally, chat_flatten, chat_extract, encode_decode, seq_integrity)
+    own = (prompt_template, nested_project, shuffle_limit, head_limit, replicate, pad_sequences, chunk_union, eos_tally, chat_flatten, chat_extract, encode_decode, drop_null_generations, seq_integrity)
     return {f.__name__: f for f in own}
 
 
@@ -119,5 +127,6 @@ def oracle_sql():
         "encode_decode": f"""with i as (select item_id, unnest({w}) as word, generate_subscripts({w}, 1) as pos from benchmark),
             v as (select word, row_number() over (order by count(*) desc, word) - 1 as id from i group by word)
             select item_id, string_agg(cast(id as varchar), ',' order by pos) as ids, string_agg(word, ' ' order by pos) filter (where id <> 0) as text from i join v using (word) group by 1""",
+        "drop_null_generations": "select user_id, string_agg(cast(event_id as varchar), ',' order by event_id) as generated from events where event_type = 'purchase' group by 1",
         "seq_integrity": f"with {labels} select seq_id, seq_id % 7 <> 0 or t[1] = -1 as whole from s",
     }

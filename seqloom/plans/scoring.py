@@ -43,6 +43,12 @@ def lvd_positions(spark, sf_dir):
     return _places(spark, sf_dir).select("seq_id", "pos", "token", "is_last")
 
 
+def embedding_slice(spark, sf_dir):
+    """What predicts five tokens after a prompt of three; its first number."""
+    rows = latent.predicting(streams.embeddings(spark, sf_dir), 3, 5)
+    return rows.select("seq_id", "pos", "token", F.round(F.col("embedding")[0].cast("double"), 6).alias("x0"))
+
+
 def kmeans_assign(spark, sf_dir):
     return _assigned(spark, sf_dir).select("seq_id", "pos", "cluster")
 
@@ -82,6 +88,18 @@ def constraint_prob(spark, sf_dir):
     return satisfaction(streams.events(spark, sf_dir), CONSTRAINT, "user_id").withColumn("p", F.round("p", 9))
 
 
+def constraint_prob_missing(spark, sf_dir):
+    """Events of small value are missing: the model sums over them, the automaton
+    reads them as an event that no constraint names."""
+    return satisfaction(models._partial(spark, sf_dir), CONSTRAINT, "user_id").withColumn("p", F.round("p", 9))
+
+
+def constraint_prob_ranges(spark, sf_dir):
+    """A range of lengths for each user."""
+    rows = streams.events(spark, sf_dir).withColumn("least", F.col("user_id") % 3).withColumn("most", F.when(F.col("user_id") % 4 > 0, F.col("user_id") % 3 + 1))
+    return satisfaction(rows, CONSTRAINT, "user_id", least="least", most="most").withColumn("p", F.round("p", 9))
+
+
 def constraint_ranges(spark, sf_dir):
     """Completions summed over each range of lengths: a range join and a log sum."""
     c = CONSTRAINT.completions()
@@ -117,6 +135,18 @@ def constraint_reweight(spark, sf_dir):
     return out.select("user_id", "token", F.round("logp", 6).alias("logp"), "feasible")
 
 
+def constraint_reweight_ended(spark, sf_dir):
+    """Users whose last event is the stop token have ended and take the temperature
+    alone; token 5, which the model doesn't know, is banned."""
+    split = _split(spark, sf_dir)
+    known = next_tokens(split, CONSTRAINT, "user_id").select("user_id", "token", "num", "den")
+    other = split.select("user_id", F.lit(V).cast("int").alias("token"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("double").alias("den"))
+    ended = split.select(F.col("user_id"), (F.element_at("tokens", -1) == models.STOP).alias("ended"))
+    scores = known.union(other).join(ended, "user_id").withColumn("logit", (F.col("user_id") * 7 + F.col("token") * 3) % 5 / 2)
+    out = reweight(scores, "user_id", alpha=0.7, temperature=1.5, ended=F.col("ended"))
+    return out.select("user_id", "token", F.round("logp", 6).alias("logp"), "feasible")
+
+
 def constrained_decode(spark, sf_dir):
     rows = streams.events(spark, sf_dir).select("user_id", F.col("tokens").alias("prefix"))
     return decode(rows, CONSTRAINT, "user_id", beam=4).withColumn("logp", F.round("logp", 6))
@@ -160,21 +190,35 @@ def rank_two_stage(spark, sf_dir):
     return out.select("user_id", "grp", F.round("fit", 6).alias("fit"), F.round("score", 6).alias("score"), "rank")
 
 
-def stream_dfa(spark, sf_dir):
+def _stream(spark, sf_dir, token):
     """Events as a stream through automaton and model: the last state of each user."""
     schema = streams.table(spark, sf_dir, "events").schema
     # a pattern, as a stream's source is a folder or a pattern, not a file
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("token", streams.event_token())
-    updates = stateful.follow(stream, CALM, MODEL, "user_id", "token", ["ts", "event_id"])
-    rows = stateful.drained(spark, updates, stateful.shared_folder(spark))
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("token", token)
+    rows = stateful.drained(spark, stateful.follow(stream, CALM, MODEL, "user_id", "token", ["ts", "event_id"]))
     last = rows.groupBy("user_id").agg(F.max_by(F.struct("n", "state", "accepted", "ll"), "n").alias("x")).select("user_id", "x.*")
     return last.withColumn("ll", F.round("ll", 6))
 
 
+def stream_dfa(spark, sf_dir):
+    return _stream(spark, sf_dir, streams.event_token())
+
+
+def stream_dfa_missing(spark, sf_dir):
+    """Events of small value are missing."""
+    return _stream(spark, sf_dir, F.when(F.col("value") >= 3, streams.event_token()))
+
+
+def stream_dfa_recovery(spark, sf_dir):
+    """The states that the stream has in the end, recomputed from all events."""
+    rows = streams.table(spark, sf_dir, "events").withColumn("token", streams.event_token())
+    return stateful.recomputed(rows, CALM, MODEL, "user_id", "token", ["ts", "event_id"]).withColumn("ll", F.round("ll", 6))
+
+
 def queries():
     own = (
-        lvd_positions, kmeans_assign, kmeans_step, lvd_alpha, lvd_beta, lvd_gamma, lvd_params, dfa_class_weights, constraint_prob, constraint_ranges,
-        suffix_overlap, constraint_next_token, constraint_reweight, constrained_decode, extract_generated, rank_generated, rank_topk, rank_two_stage, stream_dfa,
+        lvd_positions, embedding_slice, kmeans_assign, kmeans_step, lvd_alpha, lvd_beta, lvd_gamma, lvd_params, dfa_class_weights, constraint_prob, constraint_prob_missing, constraint_prob_ranges, constraint_ranges,
+        suffix_overlap, constraint_next_token, constraint_reweight, constraint_reweight_ended, constrained_decode, extract_generated, rank_generated, rank_topk, rank_two_stage, stream_dfa, stream_dfa_missing, stream_dfa_recovery,
     )
     return {f.__name__: f for f in own}
 
@@ -206,7 +250,8 @@ def oracle_sql():
         parts += f", f{t} as (select st.q, em.i, sum(em.p * m.p * f.x) as x from st join em on em.w = st.w join m on m.i = em.i join f{t - 1} f on f.q = st.r and f.i = m.j group by 1, 2)"
     every = " union all ".join(f"select {t} as t, q, i, x from f{t}" for t in range(4))
     seq = f"with recursive {models.sequence_sql(False)}, {models.forward_sql()}, {parts}"
-    state = "z as (select user_id, max(case when w = 1 and before = 1 then 1 else 0 end) as dead, max_by(w, pos) as last from (select *, lag(w) over (partition by user_id order by pos) as before from s) group by 1)"
+    part = f"with recursive {models.sequence_sql(True)}, {models.forward_sql()}, {parts}"
+    state = "z as (select user_id, max(case when w = 1 and before = 1 then 1 else 0 end) as dead, max_by(coalesce(w, -1), pos) as last from (select *, lag(w) over (partition by user_id order by pos) as before from s) group by 1)"
     after = "a as (select f.user_id, m.j as i, sum(case m.i " + " ".join(f"when {i} then e{i}" for i in range(H)) + " end * m.p) as p from f join n on n.user_id = f.user_id and n.len = f.pos, m group by 1, 2)"
     # a user's last two events as automaton input
     two = "t as (select user_id, len, max(w) filter (where pos = len - 1) as t1, max(w) filter (where pos = len) as t2 from s join n using (user_id) where len >= 2 group by 1, 2)"
@@ -214,6 +259,8 @@ def oracle_sql():
     nexts = f"""{after}, {two}, {c0}, nx as (select t.user_id, em.w as token, sum(a.p * em.p * c0.x) + case when em.w = 0 and not (t1 = 1 and t2 = 1) then (select sum(a2.p * b0.x) from a a2 join b0 using (i) where a2.user_id = t.user_id) else 0 end
           + case when em.w = 4 and t2 = 0 then (select sum(a2.p * b1.x) from a a2 join b1 using (i) where a2.user_id = t.user_id) else 0 end as num, sum(a.p * em.p) as den
         from t join a using (user_id) join em on em.i = a.i join st s2 on s2.w = em.w and s2.q = case when t1 = 1 and t2 = 1 then 2 when t2 = 1 then 1 else 0 end join c0 on c0.i = em.i and c0.q = s2.r group by t.user_id, em.w, t1, t2)"""
+    followed = lambda missing: f"""with recursive {models.sequence_sql(missing)}, {models.forward_sql()}, {state} select n.user_id, n.len as n, case when dead = 1 then 2 when last = 1 then 1 else 0 end as state, dead = 0 as accepted, round(ll, 6) as ll
+            from z join n using (user_id) join f on f.user_id = n.user_id and f.pos = n.len"""
     labels = "l as (select vec_id // 10 as seq_id, list(label order by vec_id % 10) as t from embeddings group by 1)"
     logp = """o as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, count(*) over (partition by user_id) as n, -value / 100 as logp from events),
         r as (select *, case when pos < 2 then 'prompt' when pos >= n - 2 then 'suffix' else 'generated' end as part from o)"""
@@ -221,6 +268,7 @@ def oracle_sql():
     rank = "cast(row_number() over (partition by grp order by score desc, user_id) as int)"
     return {
         "lvd_positions": f"with {places} select seq_id, pos, token, is_last from p",
+        "embedding_slice": "select a.vec_id // 10 as seq_id, cast(a.vec_id % 10 - 3 as int) as pos, a.label as token, round(b.embedding[1]::double, 6) as x0 from embeddings a left join embeddings b on b.vec_id = a.vec_id - 1 where a.vec_id % 10 between 3 and 7",
         "kmeans_assign": f"with {assigned} select seq_id, pos, cluster from a",
         "kmeans_step": f"with {assigned} select cluster, cast(dim as int) as dim, round(avg(x), 6) as mean from (select cluster, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as dim from a where pos <> 0) group by 1, 2",
         "lvd_alpha": f"with {assigned} {moves}",
@@ -229,6 +277,8 @@ def oracle_sql():
         "lvd_params": f"with {assigned} {full('alpha', moves, STATES, STATES)} union all {full('beta', emits, STATES, LABELS)} union all {full('gamma', starts, 1, STATES)}",
         "dfa_class_weights": f"with em(i, w, p) as {emit} select case when w = 1 then 1 else 0 end as cls, i, round(sum(p), 9) as w from em group by 1, 2",
         "constraint_prob": f"{seq}, {state}, {after}, y as ({every}) select user_id, round(sum(p * x), 9) as p, sum(p * x) > 0 as feasible from z join a using (user_id) join y on y.i = a.i and y.q = case when dead = 1 then 2 when last = 1 then 1 else 0 end where t between 1 and 3 group by 1",
+        "constraint_prob_missing": f"{part}, {state}, {after}, y as ({every}) select user_id, round(sum(p * x), 9) as p, sum(p * x) > 0 as feasible from z join a using (user_id) join y on y.i = a.i and y.q = case when dead = 1 then 2 when last = 1 then 1 else 0 end where t between 1 and 3 group by 1",
+        "constraint_prob_ranges": f"{seq}, {state}, {after}, y as ({every}) select user_id, round(sum(p * x), 9) as p, sum(p * x) > 0 as feasible from z join a using (user_id) join y on y.i = a.i and y.q = case when dead = 1 then 2 when last = 1 then 1 else 0 end where t between user_id % 3 and case when user_id % 4 > 0 then user_id % 3 + 1 else 3 end group by 1",
         "constraint_ranges": f"with {parts}, y as ({every}), c as (select t, q, m.i, sum(m.p * x) as x from y join m on m.j = y.i group by 1, 2, 3) select lo, hi, cast(q as int) as state, i, round(sum(x), 9) as w from c join {_table([(0, 2), (0, 1), (0, 0)])} r(lo, hi) on t between lo and hi group by 1, 2, 3, 4",
         "suffix_overlap": f"""with {models.sequence_sql(False)}, l as (select user_id, list(w order by pos) as t, max(len) as len from s join n using (user_id) group by 1),
             q as (select *, list_transform(range(0, 3), lambda k: not contains(array_to_string(t[1:len - k], ''), '11')) as calm from l)
@@ -240,6 +290,14 @@ def oracle_sql():
             x3 as (select *, (x - m - ln(sum(exp(x - m)) over (partition by user_id))) / 1.5 as y from (select *, max(x) over (partition by user_id) as m from x2)),
             x4 as (select *, max(y) over (partition by user_id) as m2 from x3)
             select user_id, token, round(y - m2 - ln(sum(exp(y - m2)) over (partition by user_id)), 6) as logp, max(num) over (partition by user_id) > 0 as feasible from x4""",
+        "constraint_reweight_ended": f"""{seq}, {nexts}, u as (select user_id, max(t2) = 4 as ended from t group by 1),
+            x0 as (select user_id, token, num, den from nx union all select user_id, {V}, null, null from u),
+            x1 as (select *, (user_id * 7 + token * 3) % 5 / 2 as logit from x0 join u using (user_id)),
+            x2 as (select *, logit - ln(sum(exp(logit)) over (partition by user_id)) as base from x1),
+            x3 as (select *, case when ended then base else base + 0.7 * case when num > 0 then ln(num) - ln(den) else -1e30 end end as x from x2),
+            x4 as (select *, (x - m - ln(sum(exp(x - m)) over (partition by user_id))) / 1.5 as y from (select *, max(x) over (partition by user_id) as m from x3)),
+            x5 as (select *, max(y) over (partition by user_id) as m2 from x4)
+            select user_id, token, round(y - m2 - ln(sum(exp(y - m2)) over (partition by user_id)), 6) as logp, coalesce(max(num) over (partition by user_id) > 0, false) as feasible from x5""",
         "extract_generated": f"""with {labels}, w as (select seq_id, list_slice(t, 1, coalesce(list_max(list_filter(range(1, len(t) + 1), lambda k: t[k] <> {STOP})), 0)) as w from l), r as (select seq_id, w[3:] as r from w)
             select seq_id, array_to_string(r[1:len(r) - case when len(r) >= 2 and r[len(r) - 1] = 3 and r[len(r)] = 4 then 2 when len(r) >= 1 and r[len(r)] = 3 then 1 else 0 end], ',') as generated from r""",
         "rank_generated": f"with {logp}, x as ({scored('0.9')}) select user_id, grp, round(score, 6) as score, {rank} as rank from x",
@@ -247,6 +305,5 @@ def oracle_sql():
         "rank_two_stage": f"""with {logp}, x as ({scored('1.0')}), u as (select user_id, logp as fit from r where part = 'suffix' and pos = greatest(n - 2, 2)),
             y as (select *, row_number() over (partition by grp order by fit desc, user_id) as first from x join u using (user_id))
             select user_id, grp, round(fit, 6) as fit, round(score, 6) as score, {rank} as rank from y where first <= 5""",
-        "stream_dfa": f"""with recursive {models.sequence_sql(False)}, {models.forward_sql()}, {state} select user_id, len as n, case when dead = 1 then 2 when last = 1 then 1 else 0 end as state, dead = 0 as accepted, round(ll, 6) as ll
-            from z join n using (user_id) join f on f.user_id = n.user_id and f.pos = n.len""".replace("select user_id, len", "select n.user_id, n.len"),
+        "stream_dfa": followed(False), "stream_dfa_missing": followed(True), "stream_dfa_recovery": followed(False),
     }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,28 @@ SCORE_SCHEMA = """accuracy double, correct_count int, total_count int, id string
 RESULT_SCHEMA = "id string, result string, input_token_count int, output_token_count int, latency double"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, or one of our own where all runs here."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="seqloom-")
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """``df`` cut from its lineage: written to the shared folder and reread."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def append_log(spark: SparkSession, path: str, row: dict[str, float]) -> None:
+    """A row more for a table of numbers by name."""
+    spark.createDataFrame([row], ", ".join(f"{k} {'long' if isinstance(v, int) else 'double'}" for k, v in row.items())).coalesce(1).write.mode("append").parquet(path)
+
+
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """(prompt): a JSON list of strings, one list a file."""
     raw = spark.read.text(path, wholetext=True)

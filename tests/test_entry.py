@@ -26,6 +26,14 @@ def test_the_rest_stands_without_the_training_data_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
 
 
+def test_an_emptied_folder_is_no_operator(tmp_path):
+    shutil.copytree(os.path.join(ROOT, "seqloom"), tmp_path / "seqloom", ignore=lambda d, names: [n for n in names if n == "__pycache__" or os.path.basename(d) == "llm"])
+    (tmp_path / "seqloom/llm/__pycache__").mkdir(parents=True, exist_ok=True)
+    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; assert e.queries() and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
+
+
 def test_nothing_outside_imports_the_operators():
     for folder, _, names in os.walk(os.path.join(ROOT, "seqloom")):
         if os.path.basename(folder) != "llm":

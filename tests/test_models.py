@@ -12,7 +12,7 @@ from seqloom.functions import logspace
 from seqloom.hmm import Hmm, inference, learning
 
 M = Hmm.random(3, 5, seed=3)
-SEQUENCES = [[1, 3, 0, 2], [4, 4, 1, 0], [1, None, 0, 2], [2], [], [None, None]]
+SEQUENCES = [[3, 0, 3], [2, 1, 1, 4, 0], [0, None, 4], [1], [], [None, None]]
 
 
 def paths(n):
@@ -40,6 +40,44 @@ def test_likelihood_by_all_paths(rows):
     assert {r.k: pytest.approx(r.ll, abs=1e-9) for r in inference.log_likelihood(rows, wide, "k").collect()} == folded
 
 
+def test_tokens_beyond_the_vocabulary_have_probability_zero(spark):
+    df = spark.createDataFrame([(1, [0, 5, 1]), (2, [9]), (3, [0, 1])], "k int, tokens array<int>")
+    wide = Hmm.random(12, 5, seed=1)
+    for hmm in (M, wide):
+        got = {r.k: r.ll for r in inference.log_likelihood(df, hmm, "k").collect()}
+        assert got[1] <= -1e30 and got[2] <= -1e30 and got[3] > -100
+    assert {r.k for r in inference.posterior(df, M, "k").collect() if r.p == 0} == {1, 2}
+    flow = lambda rows: {(r.kind, r.i, r.k): r.mass for r in inference.flows(rows, M).collect()}
+    assert flow(df) == pytest.approx(flow(df.where("k = 3")))
+    c = Constraint(contains([0]), M, 0, 2)
+    assert {r.k: r.feasible for r in satisfaction(df, c, "k").collect()} == {1: False, 2: False, 3: True}
+    assert all(r.num == r.den == 0 for r in next_tokens(df.select("k", F.array().cast("array<int>").alias("prefix"), "tokens"), c, "k").where("k < 3").collect())
+
+
+def test_sequences_of_any_length_are_grouped_within_bounds():
+    import pyarrow as pa
+
+    from seqloom.hmm.batches import grouped
+
+    rng = np.random.default_rng(2)
+    rows = [None, [], *[rng.integers(0, 5, n).tolist() for n in (3, 20_000, 1, 7, 7)], [None, -3, 2]]
+    for cells in (1, 50, 1 << 20):
+        seen = {}
+        for at, x, n in grouped(pa.array([[0], *rows], pa.list_(pa.int32())).slice(1), 4, cells):
+            assert len(at) == 1 or x.size * 4 <= cells
+            seen |= {int(r): [None if w < 0 else int(w) for w in x[k, : n[k]]] for k, r in enumerate(at)}
+        assert [seen[k] for k in range(len(rows))] == [[None if w is None or w < 0 else w for w in r or []] for r in rows]
+
+
+def test_one_long_sequence_among_many(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.integers(0, 5, 3).tolist()) for k in range(2000)] + [(9999, rng.integers(0, 5, 20_000).tolist())]
+    df, wide = spark.createDataFrame(rows, "k int, tokens array<int>"), Hmm.random(40, 5, seed=2)
+    assert inference.posterior(df.coalesce(1), wide, "k").groupBy("k", "pos").agg(F.sum("p").alias("p")).agg(F.min("p"), F.max("p"), F.count("*")).first() == (pytest.approx(1), pytest.approx(1), 26_000)
+    starts = inference.flows(df, wide).where("kind = 'gamma'").agg(F.sum("mass")).first()[0]
+    assert starts == pytest.approx(2001)
+
+
 def test_missing_is_the_sum_over_fillings():
     one = lambda s: inference.forward(M, np.array([s]))[1][0]
     assert one([1, -1, 0, 2]) == pytest.approx(math.log(sum(math.exp(one([1, w, 0, 2])) for w in range(5))))
@@ -63,7 +101,7 @@ def test_posteriors_and_flows_by_all_paths(rows):
     assert all(got[key] == pytest.approx(flow[key], abs=1e-9) for key in got) and set(flow) <= set(got)
 
 
-def test_em_never_lowers_the_likelihood(spark):
+def test_em_never_lowers_the_likelihood(spark, tmp_path):
     rng = np.random.default_rng(0)
     data = spark.createDataFrame([(k, k % 4, rng.integers(0, 5, 6).tolist()) for k in range(64)], "k int, chunk int, tokens array<int>")
     hmm, lls = Hmm.random(3, 5, seed=9), []
@@ -71,8 +109,10 @@ def test_em_never_lowers_the_likelihood(spark):
         lls.append(inference.log_likelihood(data, hmm, "k").agg(F.sum("ll")).first()[0])
         hmm = learning.step(data, hmm, stop=4, pseudocount=1e-8)
     assert all(b >= a - 1e-6 for a, b in zip(lls, lls[1:]))
-    saved = []
-    fitted, log = learning.fit(data, hmm, learning.schedule("1,2;1,4", 4), 4, dev=data, save=lambda n, m: saved.append(n), every=2)
+    saved, table = [], str(tmp_path / "log")
+    fitted, log = learning.fit(data, hmm, learning.schedule("1,2;1,4", 4), 4, dev=data, save=lambda n, m: saved.append(n), every=2, log_path=table)
+    rows = sorted(spark.read.parquet(table).select("step", "dev_ll").collect())
+    assert [tuple(r) for r in rows] == [(n, pytest.approx(x)) for n, x in log]
     assert saved == [2] and len(log) == 2 and np.allclose(fitted.move.sum(1), 1)
 
 
@@ -120,7 +160,50 @@ def test_constraint_by_enumeration(spark, dfa, suffix):
         assert got[k] == pytest.approx(want / one(tokens), abs=1e-12)
 
 
-def test_decode_finds_the_best_and_reports_infeasible(spark):
+def test_missing_tokens_and_ranges_of_rows(spark):
+    c = Constraint(contains([0]), M, 1, 3, (4,))
+    one = lambda s: math.exp(inference.forward(M, np.array([s]))[1][0])
+    rows = [(1, [0, None, 2], 1, 2), (2, [-1, 1], 0, 3), (3, [0, -1, 2], None, None), (4, None, 2, 2), (5, [1], 3, 1)]
+    df = spark.createDataFrame(rows, "k int, tokens array<int>, lo int, hi int")
+    got = {r.k: (r.p, r.feasible) for r in satisfaction(df, c, "k", least="lo", most="hi").collect()}
+    for k, tokens, lo, hi in rows:
+        x = [-1 if w is None else w for w in tokens or []]
+        lo, hi = (1 if lo is None else lo), (3 if hi is None else hi)
+        want = sum(one([*x, *g, 4]) for n in range(lo, hi + 1) for g in itertools.product(range(5), repeat=n) if c.dfa.accepts([*x, *g])) / (one(x) if x else 1)
+        assert got[k] == (pytest.approx(want, abs=1e-12), want > 0)
+    with pytest.raises(Exception, match="ranges have to lie"):
+        satisfaction(df.withColumn("hi", F.lit(4)), c, "k", most="hi").collect()
+    # a missing token is summed over by the model and no constraint's token
+    asked = df.select("k", F.lit(None).cast("array<int>").alias("prefix"), "tokens")
+    free = {(r.k, r.token): r.den for r in next_tokens(asked, c, "k").collect()}
+    assert free[1, 3] == pytest.approx(one([0, -1, 2, 3]) / one([0, -1, 2])) and free == pytest.approx({(k, w): x for (k, w), x in free.items()})
+
+
+def best_by_search(c, prefix):
+    """Every sequence, each token weighed as the decoder does."""
+    sums, costs, goal, done = c.range_sums(), c.suffix_costs(), len(c.suffix), []
+
+    def grow(tokens, lp):
+        if goal in c.overlaps(tokens):
+            done.append((lp, tokens))
+        if len(tokens) < c.most + goal:
+            num, _ = c.next(prefix, tokens, sums, costs)
+            for w in np.flatnonzero(num).tolist():
+                grow([*tokens, w], lp + math.log(num[w] / num.sum()))
+
+    grow([], 0.0)
+    return min(done, key=lambda x: (-x[0], x[1]))
+
+
+def test_decode_finds_the_best_of_all_sequences(spark):
+    c = Constraint(contains([0]) & contains([3]), M, 1, 3, (4,))
+    df = spark.createDataFrame([(1, [2, 0]), (2, []), (3, None), (4, [1, None])], "k int, prefix array<int>")
+    for r, prefix in zip(sorted(decode(df, c, "k", beam=600).collect()), ([2, 0], [], [], [1, -1]), strict=True):
+        lp, tokens = best_by_search(c, prefix)
+        assert r.tokens == tokens and r.logp == pytest.approx(lp)
+
+
+def test_decode_reports_infeasible(spark):
     c = Constraint(contains([0]) & contains([3]), M, 1, 3, (4,))
     df = spark.createDataFrame([(1, [2, 0]), (2, [])], "k int, prefix array<int>")
     for r in decode(df, c, "k", beam=600).collect():
