@@ -18,11 +18,13 @@ once for each block, so large cells keep the shuffle small: with queries a
 twentieth of the rows, a row is copied once for every 330,000 rows.
 
 Vectors are turned into integers, floor(scale * x); sums are exact in doubles as
-long as norms allow, otherwise in 64-bit integers.  Vectors null or with null or
+long as norms allow, otherwise in 64-bit integers.  Scores too wide to make one
+number with a row are ranked by two.  Vectors null or with null or
 non-finite components, and rows without an id, take no part.  Shorter vectors
 count as filled up with zeros.  Ties go to the smaller id; rows that share the
-query's id are not its candidates; other repeated rows are each a candidate, and
-repeated queries give their rows once.  An empty table gives an empty result.
+query's id are not its candidates; other repeated rows are each a candidate.  Of
+query rows that share an id, equal vectors count once, and different ones share a
+ranking: the best of all their pairs.  An empty table gives an empty result.
 Only the id and vector columns are read.
 """
 
@@ -89,45 +91,87 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.T.astype(np.int64)
 
 
-def search(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, d_ids: np.ndarray, k: int, q_leaf: int = 128, d_leaf: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bounded(queries: np.ndarray, data: np.ndarray) -> float:
+    """No score is larger."""
+    return float(np.sqrt((queries**2).sum(1).max(initial=0)) * np.sqrt((data**2).sum(1).max(initial=0)))
+
+
+class Best:
+    """The k best (score, row) of each query, ties to the smaller row.  Where there
+    is room, a score and a row make one number that sorts by both."""
+
+    def __init__(self, n_queries: int, n_rows: int, k: int, wide: float):
+        self.none, self.n, self.k = np.iinfo(np.int64).min, n_rows, k
+        self.packed = wide * 2 * n_rows < 2.0**62
+        self.keys = np.full((n_queries, k), self.none)
+        self.rows = None if self.packed else np.full((n_queries, k), n_rows)
+        self.worst = np.full(n_queries, -np.inf)  # the kth score, to compare bounds with
+
+    def add(self, q: np.ndarray, part: np.ndarray, scores: np.ndarray, hit: np.ndarray) -> None:
+        """Scores of rows ``part`` for queries ``q`` where ``hit``."""
+        none, n, k = self.none, self.n, self.k
+        if self.packed:
+            keys = np.where(hit, scores.astype(np.int64) * n + (n - 1 - part)[None, :], none)
+            self.keys[q] = np.partition(np.concatenate([self.keys[q], keys], axis=1), -k, axis=1)[:, -k:]
+            worst = self.keys[q].min(1)
+            self.worst[q] = np.where(worst == none, -np.inf, worst // n)
+            return
+        keys = np.concatenate([self.keys[q], np.where(hit, scores.astype(np.int64), none)], axis=1)
+        rows = np.concatenate([self.rows[q], np.where(hit, part[None, :], n)], axis=1)
+        first = np.lexsort((rows, ~keys), axis=1)[:, :k]
+        self.keys[q], self.rows[q] = np.take_along_axis(keys, first, 1), np.take_along_axis(rows, first, 1)
+        # a bound in doubles, below the score whatever rounding takes
+        self.worst[q] = np.where(self.rows[q][:, -1] == n, -np.inf, np.nextafter(self.keys[q][:, -1].astype(float), -np.inf))
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, rows, how many), best first."""
+        if self.packed:
+            best = -np.sort(-np.maximum(self.keys, self.none + 1), axis=1)
+            there = best > self.none + 1
+            return np.where(there, best // self.n, 0), np.where(there, self.n - 1 - best % self.n, 0), there.sum(1)
+        there = self.rows < self.n
+        return np.where(there, self.keys, 0), np.where(there, self.rows, 0), there.sum(1)
+
+
+def search(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, d_ids: np.ndarray, k: int, q_leaf: int = 64, d_leaf: int = 256, scored: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each query its k best (scores, ids), best first, and how many there
-    are; rows of ``data`` with the query's own id are passed over."""
+    are; rows of ``data`` with the query's own id are passed over.  ``scored``
+    gets how many pairs were looked at, a number at a time."""
     order = np.argsort(d_ids, kind="stable")
     data, d_ids = data[order], d_ids[order]
-    n, none = len(data), np.iinfo(np.int64).min
-    # a score and a row make one number that sorts by score, then by the smaller
-    # id; the rows are in the order of ids.  Too wide scores are ranked first.
-    wide = float(np.sqrt((queries**2).sum(1).max(initial=0)) * np.sqrt((data**2).sum(1).max(initial=0)))
-    if wide * 2 * n >= 2.0**62:
-        return _search_wide(queries, q_ids, data, d_ids, k)
-    best = np.full((len(queries), k), none)
-    kth = np.full(len(queries), -np.inf)  # the worst score kept, as a number to compare bounds with
+    wide = _bounded(queries, data)
+    best = Best(len(queries), len(data), k, wide)
+    kth = best.worst
     qt, dt = CoverTree(queries, q_leaf), CoverTree(data, d_leaf)
     q_norm = np.sqrt((queries**2).sum(1))
     slack = 1e-9
 
     def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
         b = dt.centres[nodes] @ qt.centres[q] + qt.norms[q] * dt.radii[nodes] + (dt.norms[nodes] + dt.radii[nodes]) * qt.radii[q]
-        return b + slack * (1 + np.abs(b))
+        return b + slack * (1 + np.abs(b) + qt.norms[q] * dt.norms[nodes])
 
     def take(q: np.ndarray, part: np.ndarray) -> None:
+        if scored is not None:
+            scored.append(len(q) * len(part))
         s = queries[q] @ data[part].T if wide < 2.0**52 else _product(queries[q], data[part])
         hit = s >= kth[q][:, None]
         some = np.flatnonzero(hit.any(1))
         if some.size:
             rows = q[some]
-            hit = hit[some] & (d_ids[part][None, :] != q_ids[rows][:, None])
-            keys = np.where(hit, s[some].astype(np.int64) * n + (n - 1 - part)[None, :], none)
-            best[rows] = np.partition(np.concatenate([best[rows], keys], axis=1), -k, axis=1)[:, -k:]
-            worst = best[rows].min(1)
-            kth[rows] = np.where(worst == none, -np.inf, worst // n)
+            best.add(rows, part, s[some], hit[some] & (d_ids[part][None, :] != q_ids[rows][:, None]))
 
     def look(rows: np.ndarray, leaves: list[int]) -> None:
         # single queries may be past what the group has to look at
-        own = q_norm[rows] * (dt.norms[leaves] + dt.radii[leaves]).max() * (1 + slack) + slack
-        points = np.concatenate([dt.points[x] for x in leaves])
-        for lo in range(0, len(points), 2048):
-            take(rows[own >= kth[rows]], points[lo : lo + 2048])
+        inner, room = queries[rows] @ dt.centres[leaves].T, q_norm[rows][:, None]
+        own = inner + room * dt.radii[leaves] + slack * (1 + room * dt.norms[leaves])
+        if (own >= kth[rows][:, None]).mean() > 0.5:
+            points = np.concatenate([dt.points[x] for x in leaves])
+            for lo in range(0, len(points), 2048):
+                take(rows[own.max(1) >= kth[rows]], points[lo : lo + 2048])
+            return
+        for k in np.argsort(-own.max(0), kind="stable").tolist():
+            if (some := rows[own[:, k] >= kth[rows]]).size:
+                take(some, dt.points[leaves[k]])
 
     def visit(q: int, nodes: np.ndarray) -> None:
         if qt.children[q]:
@@ -167,22 +211,8 @@ def search(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, d_ids: np.n
             look(rows, held)
 
     visit(0, np.array([0]))
-    best = -np.sort(-np.maximum(best, none + 1), axis=1)
-    there = best > none + 1
-    return np.where(there, best // n, 0), d_ids[np.where(there, n - 1 - best % n, 0)], there.sum(1)
-
-
-def _search_wide(queries: np.ndarray, q_ids: np.ndarray, data: np.ndarray, d_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same where scores leave no room beside them: every score, row by row."""
-    top, ids, counts = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k), np.int64), np.zeros(len(queries), np.int64)
-    for r in range(len(queries)):
-        s = _product(queries[r : r + 1], data)[0]
-        other = np.flatnonzero(d_ids != q_ids[r])
-        # ids are in order, so a stable sort by falling score breaks ties by id
-        first = other[np.argsort(-s[other], kind="stable")[:k]]
-        counts[r] = len(first)
-        top[r, : len(first)], ids[r, : len(first)] = s[first], d_ids[first]
-    return top, ids, counts
+    top, rows, n = best.result()
+    return top, d_ids[rows], n
 
 
 def _matrix(vectors: pd.Series, width: int, scale: float) -> np.ndarray:
@@ -212,10 +242,12 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0,
     def cell(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        asked = asked.drop_duplicates("vec_id")
         width = max(data.embedding.map(len).max(), asked.embedding.map(len).max(), 1)
-        q_ids, d_ids = asked.vec_id.to_numpy(np.int64), data.vec_id.to_numpy(np.int64)
-        top, ids, n = search(_matrix(asked.embedding, width, scale), q_ids, _matrix(data.embedding, width, scale), d_ids, k)
+        q_ids, d_ids, x = asked.vec_id.to_numpy(np.int64), data.vec_id.to_numpy(np.int64), _matrix(asked.embedding, width, scale)
+        # equal vectors of an id are one query
+        first = np.unique(np.column_stack([q_ids, x.view(np.int64)]), axis=0, return_index=True)[1]
+        q_ids, x = q_ids[first], x[first]
+        top, ids, n = search(x, q_ids, _matrix(data.embedding, width, scale), d_ids, k)
         there = np.arange(k)[None, :] < n[:, None]
         return pd.DataFrame({"query_id": np.repeat(q_ids, n), "vec_id": ids[there], "score": top[there]})
 
@@ -233,6 +265,6 @@ SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as x from embeddings
            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, d.vec_id, cast(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * d.x[i])) as bigint) as score
-      from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 20 = 0)
+      from (select distinct vec_id, x from v where vec_id % 20 = 0) q join v d on q.vec_id <> d.vec_id)
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
 from s qualify rank <= 20"""

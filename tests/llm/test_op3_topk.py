@@ -9,8 +9,8 @@ def brute(rows, queries, k=20):
     ok = [(i, np.floor(64 * np.asarray(v, np.float32).astype(np.float64))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q in sorted({i for i, _ in ok if queries(i)}):
-        mine = next(v for i, v in ok if i == q)
-        best = sorted((-int(sum(a * b for a, b in zip(mine, v))), i) for i, v in ok if i != q)[:k]
+        mine = {tuple(v) for i, v in ok if i == q}
+        best = sorted((-int(sum(a * b for a, b in zip(m, v))), i) for i, v in ok if i != q for m in mine)[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return out
 
@@ -36,6 +36,30 @@ def test_hard_rows_and_empty(spark):
     assert op.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_query_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 5.0]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute(rows, lambda i: i == 0, 5)
+    assert [i for _, _, i, _ in want] == [2, 1, 3, 3, 1]
+    for _ in range(2):
+        assert got(op.top_k(df.repartition(3), df.where("vec_id = 0").repartition(2), k=5, block_rows=2)) == want
+
+
+def test_how_much_is_looked_at(spark):
+    """Far less than all pairs where vectors lie in clusters; all of them where 64
+    numbers are drawn apart from each other."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(64, 64)) * 60
+    data = np.floor(centres[rng.integers(0, 64, 8192)] + rng.normal(size=(8192, 64)) * 3)
+    ids, scored = np.arange(8192), []
+    top, _, _ = op.search(data[::20], ids[::20], data, ids, 20, scored=scored)
+    share = sum(scored) / (len(data[::20]) * len(data))
+    assert share < 0.5 and (top[0] == np.sort(np.delete(data @ data[0], 0))[::-1][:20].astype(int)).all()
+    even, scored = np.floor(rng.normal(size=(4096, 64)) * 10), []
+    op.search(even[::20], np.arange(4096)[::20], even, np.arange(4096), 20, scored=scored)
+    print("share looked at: clusters", share, "even", sum(scored) / (len(even[::20]) * len(even)))
+
+
 @pytest.mark.parametrize("kind", ["clusters", "copies", "wide"])
 def test_search_is_exact(kind):
     rng = np.random.default_rng(4)
