@@ -35,8 +35,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: doc_id, source, size, taken, shards."""
-    return op6_mixing.mix(docs).where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken", "shards")
+    """What the mix takes: how many words of each document, and for each time it is
+    taken its shard and its place in the shard's shuffled order."""
+    return op6_mixing.mix(docs).where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken", "shards", "shuffle_keys")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("mixture", mixture)]

@@ -13,11 +13,13 @@ tree (DataFrame functions only).
    the hypergeometric law given what is left of population and draw, so each
    shard is an exact random sample of the quotas, without replacement.
 4. Each source's blocks, in a second permutation, are dealt to the shards by
-   these counts; within a shard, copies are ordered by ``shuffle_key``.
+   these counts; within a shard, copies are shuffled: their order is that of
+   ``shuffle_keys``, a hash of shard, pass and document.
 
 Sources are in code point order, null last.  Nulls: a null text has size 0, a
 null id or source is a value like any other.  Rows that agree in id, source and
-size are taken together, all or none.  Sizes of zero are never taken and their
+size are copies of one unit: each takes part in the passes, and first fit takes as
+many of them as there is room for.  Sizes of zero are never taken and their
 target is 0.  An empty table gives an empty result.  Other columns are not read.
 Equal hashes are told apart by the id.
 """
@@ -95,7 +97,7 @@ def mix(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, docs_per_block: int = 64, blocks_per_shard: int = 64, blocks_per_step: int = 1024
 ) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken,
-    shards (array, one for each copy taken), permuted (its hash)."""
+    shards and shuffle_keys (arrays, an entry for each time it is taken)."""
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
     units = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"))
     units = units.withColumn("h", F.xxhash64(F.lit(SEED), F.coalesce("source", F.lit("\0null")), F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null")), "size"))
@@ -126,11 +128,12 @@ def mix(
 
     # first fit within each source's last block
     open_block = placed.join(last, "i").where(F.col("block") == F.col("last"))
-    fill = """aggregate(us, named_struct('room', room, 'o', cast(array() as array<struct<h:bigint,doc_id:{id}>>)),
-        (a, x) -> if(x.w > 0 and x.w <= a.room, named_struct('room', a.room - x.w, 'o', array_append(a.o, named_struct('h', x.h, 'doc_id', x.doc_id))), a), a -> a.o)"""
+    fill = """aggregate(us, named_struct('room', room, 'o', cast(array() as array<struct<h:bigint,doc_id:{id},n:bigint>>)),
+        (a, x) -> if(x.size > 0 and x.size <= a.room, named_struct('room', a.room - least(x.copies, cast(floor(a.room / x.size) as bigint)) * x.size,
+            'o', array_append(a.o, named_struct('h', x.h, 'doc_id', x.doc_id, 'n', least(x.copies, cast(floor(a.room / x.size) as bigint))))), a), a -> a.o)"""
     fill = fill.replace("{id}", units.schema["doc_id"].dataType.simpleString())
-    chosen = open_block.groupBy("i").agg(F.first("room").alias("room"), F.sort_array(F.collect_list(F.struct("h", "doc_id", words.alias("w")))).alias("us"))
-    chosen = chosen.select("i", F.explode(F.expr(fill)).alias("x")).select(F.col("i").alias("c_i"), F.col("x.h").alias("c_h"), F.col("x.doc_id").alias("c_id"), F.lit(1).alias("fits"))
+    chosen = open_block.groupBy("i").agg(F.first("room").alias("room"), F.sort_array(F.collect_list(F.struct("h", "doc_id", "size", "copies"))).alias("us"))
+    chosen = chosen.select("i", F.explode(F.expr(fill)).alias("x")).select(F.col("i").alias("c_i"), F.col("x.h").alias("c_h"), F.col("x.doc_id").alias("c_id"), F.col("x.n").alias("fits"))
 
     # quotas in blocks, split among the shards
     quota = sources.join(last, "i", "left").select("i", "k", "rest", (F.col("passes") * F.col("k") + F.coalesce(F.col("last") + 1, F.lit(0))).alias("c"))
@@ -152,19 +155,24 @@ def mix(
 
     out = placed.join(last.select("i", "last"), "i", "left").join(dealt, ["i", "block"], "left")
     out = out.join(chosen, (F.col("i") == F.col("c_i")) & (F.col("h") == F.col("c_h")) & F.col("doc_id").eqNullSafe(F.col("c_id")), "left")
-    times = F.when(F.col("size") == 0, 0).otherwise(F.col("passes") + F.when(F.col("block") < F.col("last"), 1).otherwise(0) + F.coalesce("fits", F.lit(0)))
-    out = out.withColumn("times", times.cast("int")).withColumn("copy", F.explode(F.expr("array_repeat(0, cast(copies as int))")))
+    # a unit's copies, some thousand at a time, so that no array grows with them
+    out = out.withColumn("some", F.explode(F.expr("sequence(0L, (copies - 1) div 4096)"))).withColumn("copy", F.explode(F.expr("sequence(some * 4096 + 1, least(copies, some * 4096 + 4096))")))
+    once_more = (F.col("block") < F.col("last")) | (F.col("copy") <= F.col("fits"))
+    times = F.when(F.col("size") == 0, 0).otherwise(F.col("passes") + F.when(once_more, 1).otherwise(0))
+    out = out.withColumn("times", times.cast("int"))
+    shards = F.expr("if(times = 0, cast(array() as array<int>), slice(dealt, 1, times))")
     return out.select(
         "doc_id", "source", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("bigint").alias("taken"),
-        F.expr("if(times = 0, cast(array() as array<int>), slice(dealt, 1, times))").alias("shards"), F.col("h").alias("permuted"),
+        shards.alias("shards"), F.transform(shards, lambda shard, epoch: F.xxhash64(F.lit(SEED), shard, epoch, "h", "copy")).alias("shuffle_keys"),
     )
 
 
 def shuffled_copies(mixed: DataFrame) -> DataFrame:
-    """One row for each copy taken, its shard and its place by hash there."""
-    rows = mixed.select("doc_id", "source", "size", "permuted", F.posexplode("shards").alias("epoch", "shard"))
-    return rows.select("doc_id", "source", "size", "epoch", "shard", F.xxhash64(F.lit(SEED), "shard", "epoch", "permuted").alias("shuffle_key"))
+    """One row for each time a document is taken: its shard and its key there, by
+    which the shard is to be ordered."""
+    taken = F.posexplode(F.arrays_zip("shards", "shuffle_keys")).alias("epoch", "x")
+    return mixed.select("doc_id", "source", "size", taken).select("doc_id", "source", "size", "epoch", F.col("x.shards").alias("shard"), F.col("x.shuffle_keys").alias("shuffle_key"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards", "shuffle_keys")
