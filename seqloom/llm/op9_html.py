@@ -18,7 +18,7 @@ a mirrored page keeps its text.  A page of which ``copied`` or more is covered i
 a near copy of others, not their frame: it keeps all its text, its menus too.
 
 Character references are decoded; white space inside a block becomes one space
-(a line break is white space); blocks are trimmed, empty ones left out, and
+(a line break is white space, and so are non-breaking and other Unicode blanks); blocks are trimmed, empty ones left out, and
 joined by a newline.  Nulls: a null page is an empty one; a null address is a
 host of its own.  Unclosed and stray tags are closed as browsers do, roughly.
 Repeated rows each give a row.  An empty table gives an empty result.  Only
@@ -48,13 +48,22 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 _SKIP = set("nav footer aside form button select option optgroup datalist fieldset dialog menu svg canvas video audio object applet map head figcaption-x".split())
 _SKIP_ROLE = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status note tablist".split())
+#: Anywhere in a class or id these tell what a part is.
 _SKIP_WORD = set(
-    """nav navbar navigation menu menubar breadcrumb breadcrumbs crumbs footer sidebar aside widget widgets ad ads adv advert adverts advertisement advertising
-    adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe
-    subscription signup signin login form search share sharing social related recommended recommendations comment comments commentlist respond reply replies
-    disqus discussion feedback pagination pager toolbar masthead copyright disclaimer skip hidden teaser teasers outbrain taboola""".split()
+    """nav navbar navigation menubar breadcrumb breadcrumbs footer sidebar ad ads advert adverts advertisement advertising adsense sponsored cookie cookies gdpr
+    newsletter signup signin login comments commentlist disqus pagination pager toolbar masthead outbrain taboola""".split()
 )
-_HEADER_WORD = {"header", "head", "topbar"}
+#: These do if nothing but places and kinds of parts stands beside them: "related
+#: posts" is a part of the frame, "related work" one of the article.
+_SKIP_NAME = set(
+    """menu aside widget widgets adv banner promo promotion sponsor consent notice notices notification alert popup modal overlay subscribe subscription form search
+    share sharing social related recommended recommendations comment respond reply replies feedback copyright disclaimer skip hidden teaser teasers crumbs""".split()
+)
+_PART = set(
+    """area articles bar block blocks box boxes button buttons col column container content follow icons inner item items js left link links list main media message
+    module outer page panel posts row section site slot stories text top bottom header right wrap wrapper the""".split()
+)
+_HEADER_NAME = {"header", "head", "topbar"}
 _ABOUT = {"has", "no", "with", "without", "not", "free"}
 _P_ENDS = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dd dt".split())
 _CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -83,11 +92,12 @@ def _kind(name: str, attributes: str) -> int:
             for part in value.split():
                 words = [w for w in re.split(r"[^a-z0-9]+", part) if w]
                 # "has-sidebar", "ad-free" and the like say what a part has or lacks
-                if _ABOUT & set(words) or name == "article" and part not in _SKIP_WORD:
+                if _ABOUT & set(words) or name == "article" and part not in _SKIP_WORD | _SKIP_NAME:
                     continue
-                if _SKIP_WORD & set(words):
+                rest = {w for w in words if not w.isdigit()} - _PART
+                if _SKIP_WORD & set(words) or rest and rest <= _SKIP_NAME | _PART:
                     return SKIPPED
-                if _HEADER_WORD & set(words) and own == NEUTRAL:
+                if _HEADER_NAME & set(words) and not rest - _HEADER_NAME and own == NEUTRAL:
                     own = HEADER
     return own
 
@@ -185,9 +195,6 @@ def blocks_of(html: str) -> tuple[list[str], bool]:
     return (main, True) if marked else (rest, False)
 
 
-_MARK = r"(?i)<(article|main)[\s>/]|role\s*=\s*[\"']?(main|article)"
-
-
 def _fingerprints(tokens: list[str], run: int) -> list[int]:
     from xxhash import xxh64_intdigest
 
@@ -198,24 +205,19 @@ def extract(pages: DataFrame, run: int = 10, share: float = 0.5, copied: float =
     """(page_id, url, text, n_chars) for every row of ``pages``."""
     kind = pages.schema["page_id"].dataType.simpleString()
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html"))
+    host = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html")).select("page_id", "url", F.lower(host).alias("host"), "html")
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = ["\n".join(blocks_of(h)[0]) for h in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
+            blocks, marked = zip(*[blocks_of(b.column(3)[k].as_py()) for k in range(b.num_rows)], strict=True) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(blocks, pa.list_(pa.string())), pa.array(marked, pa.bool_())], ["page_id", "url", "host", "blocks", "marked"])
 
-    told = rows.where(F.col("html").rlike(_MARK)).mapInArrow(texts, f"page_id {kind}, url string, text string")
+    read = written(rows.mapInArrow(streams, f"page_id {kind}, url string, host string, blocks array<string>, marked boolean"), "pages")
+    told = read.where("marked").select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
 
     # pages that don't mark their article
-    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [blocks_of(h)[0] for h in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(out, pa.list_(pa.string()))], ["page_id", "url", "host", "blocks"])
-
-    host = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
-    open_pages = rows.where(~F.col("html").rlike(_MARK)).select("*", F.lower(host).alias("host"))
-    open_pages = written(open_pages.mapInArrow(streams, f"page_id {kind}, url string, host string, blocks array<string>").withColumn("content", F.xxhash64("blocks")), "pages")
+    open_pages = read.where("not marked").withColumn("content", F.xxhash64("blocks"))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

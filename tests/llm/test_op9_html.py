@@ -107,3 +107,19 @@ def test_near_copies_keep_their_text_and_blocks_their_own_tokens(spark):
     for k, (host, blocks) in pages.items():
         # a menu is cut out of its block; what two of eight pages quote stays
         assert got[k] == "\n".join([f"here{k}", *blocks[1:]] if host == "http://a.org" else blocks)
+
+
+def test_class_names_count_as_a_whole():
+    kept = ("social-science", "related-work", "discussion", "share-of-voters", "form-and-content-of-verse", "copyright-law", "comment-on-the-text")
+    gone = ("social-links", "related_posts", "shareButtons share", "comment", "cookie-bar", "site-footer", "ad", "ad-slot-3", "post-comments", "promo box", "widget-2")
+    html = "".join(f'<div class="{c}">{c}</div>' for c in (*kept, *gone))
+    assert main(f"<article>{html}</article>") == list(kept)
+
+
+def test_a_mark_in_a_script_or_comment_is_none(spark):
+    menu = "start one two three four five six seven eight nine ten"
+    own = lambda k: " ".join(f"own{k}x{j}" for j in range(30))
+    signs = ('<script>var t = "<main class=x>"</script>', "<!-- <article> -->", "<aside><article>teaser</article></aside>", "")
+    rows = [(k, f"http://a.org/{k}", f"<body>{signs[k % 4]}<div>{menu}</div><div>{own(k)}</div>") for k in range(8)]
+    got = {r.page_id: r.text for r in op.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: own(k) for k in range(8)}
