@@ -8,7 +8,10 @@ Evidence, all of it counted over the whole input:
   stands with texts that read as each language, by grouped aggregation;
 * the host: a prior smoothed from the host to its parent domain to the whole,
   again by grouped aggregation, so that a host with few pages leans on what
-  stands above it.
+  stands above it.  Hosts without a domain (a document's source) have all of their
+  like as parent.
+
+What a row's own text adds to these counts is taken out for the row itself.
 
 A text's likelihood is tempered: trigrams overlap and repeat, so beyond
 ``full_weight`` trigrams their sum counts as their mean does.  One more outcome,
@@ -149,18 +152,22 @@ def fuse(read: DataFrame, languages: tuple[str, ...], trained: bool, accept: flo
 
     ``read`` has declared, suffix, host and parent; counts by declared value and
     suffix are smoothed to the whole, by host to its parent and that to the
-    whole.  Values are joined, not broadcast by us: their number is not bounded."""
+    whole, each without what the row itself adds.  Values are joined, not broadcast
+    by us: their number is not bounded."""
     m = len(languages)
     best = F.expr(f"array_position(slice(ll, 1, {m}), array_max(slice(ll, 1, {m}))) - 1")
     told = read.where("n > 0").withColumn("best", best)
     flat = F.array(*[F.lit(1.0 / m)] * m)
     whole = told.agg(_counts(F.col("best"), m).alias("w")).select(F.transform("w", lambda x: F.coalesce(x, F.lit(0.0))).alias("w")).select(_logs(F.col("w"), flat, 1.0).alias("whole"))
     whole = F.array(*[F.lit(float(x)) for x in whole.first()[0]])
-    parents = told.groupBy("parent").agg(_counts(F.col("best"), m).alias("c")).select(F.col("parent").alias("p_parent"), _logs(F.col("c"), whole, alpha).alias("parent_prior"))
+    parents = told.groupBy("parent").agg(_counts(F.col("best"), m).alias("pc")).select(F.col("parent").alias("p_parent"), "pc")
     hosts = told.groupBy("host", "parent").agg(_counts(F.col("best"), m).alias("c")).join(parents, F.col("parent").eqNullSafe(F.col("p_parent")))
-    hosts = hosts.select(F.col("host").alias("h_host"), F.col("parent").alias("h_parent"), _logs(F.col("c"), F.col("parent_prior"), alpha).alias("host_prior"))
+    hosts = hosts.select(F.col("host").alias("h_host"), F.col("parent").alias("h_parent"), F.col("c").alias("h_counts"), F.col("pc").alias("p_counts"))
     out = read.join(written(hosts, "hosts"), F.col("host").eqNullSafe(F.col("h_host")) & F.col("parent").eqNullSafe(F.col("h_parent")), "left")
-    prior = F.coalesce("host_prior", whole)
+    # a row's own guess counts for others only
+    out = out.withColumn("own", F.transform(F.array(*map(F.lit, range(m))), lambda k: ((F.col("n") > 0) & (k == best)).cast("double")))
+    others = lambda c: F.zip_with(F.col(c), F.col("own"), lambda a, b: a - b)
+    prior = F.coalesce(_logs(others("h_counts"), _logs(others("p_counts"), whole, alpha), alpha), whole)
     if not trained:
         names = F.array(*map(F.lit, languages))
         declared = F.when(F.array_contains(names, F.col("declared")), F.col("declared"))
@@ -169,9 +176,10 @@ def fuse(read: DataFrame, languages: tuple[str, ...], trained: bool, accept: flo
     for name in ("declared", "suffix"):
         # P(value | language), up to what is common to all languages
         values = told.where(F.col(name).isNotNull()).groupBy(name).agg(_counts(F.col("best"), m).alias("c"))
-        values = values.select(F.col(name).alias(f"v_{name}"), F.zip_with(_logs(F.col("c"), whole, 1.0), whole, lambda a, w: F.log(a) - F.log(w)).alias(f"e_{name}"))
+        values = values.select(F.col(name).alias(f"v_{name}"), F.col("c").alias(f"c_{name}"))
         out = out.join(written(values, name), F.col(name) == F.col(f"v_{name}"), "left")
-        parts.append(F.coalesce(f"e_{name}", F.array(*[F.lit(0.0)] * m)))
+        said = F.zip_with(_logs(others(f"c_{name}"), whole, 1.0), whole, lambda a, w: F.log(a) - F.log(w))
+        parts.append(F.coalesce(said, F.array(*[F.lit(0.0)] * m)))
     total = parts[0]
     for x in parts[1:]:
         total = F.zip_with(total, x, lambda a, b: a + b)
@@ -192,7 +200,7 @@ def identify(
     declared = F.when(declared != "", declared)
     model, trained = trigram_model(docs, declared, languages)
     parent = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    keep = keep | {"declared": declared, "suffix": suffix if suffix is not None else F.lit(None).cast("string"), "host": host, "parent": F.when(parent != "", parent).otherwise(host)}
+    keep = keep | {"declared": declared, "suffix": suffix if suffix is not None else F.lit(None).cast("string"), "host": host, "parent": F.when(parent != "", parent)}
     read = written(read_texts(docs, keep, model, full_weight), "languages")
     return fuse(read, languages, trained, accept).drop("suffix", "host", "parent")
 

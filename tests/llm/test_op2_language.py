@@ -35,12 +35,13 @@ def brute(rows, full_weight=200, accept=0.5):
     smooth = lambda c, p, a: (np.array(c) + a * np.array(p)) / (sum(c) + a)
     tally = lambda pick: {v: [sum(1 for k, r in zip(best, rows) if k == x and pick(r) == v) for x in range(m)] for v in {pick(r) for r, k in zip(rows, best) if k is not None}}
     whole = smooth([best.count(x) for x in range(m)], [1 / m] * m, 1.0)
-    parent = {v: smooth(c, whole, 20.0) for v, c in tally(lambda r: r[2]).items()}
-    host = {v: smooth(c, parent[v], 20.0) for v, c in tally(lambda r: r[2]).items()}
-    declared = {v: np.log(smooth(c, whole, 1.0)) - np.log(whole) for v, c in tally(lambda r: r[3]).items() if v is not None}
+    parent, host, declared = tally(lambda r: None)[None], tally(lambda r: r[2]), tally(lambda r: r[3])
     out = []
-    for r, x, g in zip(rows, ll, grams):
-        lp = x[:m] + np.log(host.get(r[2], whole)) + declared.get(r[3], np.zeros(m))
+    for r, x, g, k in zip(rows, ll, grams, best):
+        own = np.eye(m)[k] if g else np.zeros(m)
+        lp = x[:m] + np.log(smooth(host[r[2]] - own, smooth(parent - own, whole, 20.0), 20.0) if r[2] in host else whole)
+        if r[3] is not None and r[3] in declared:
+            lp = lp + np.log(smooth(declared[r[3]] - own, whole, 1.0)) - np.log(whole)
         lp = np.append(lp, x[m] + math.log(0.01) if g else -1e30)
         p = np.exp(lp - lp.max())
         k = int(lp.argmax())
@@ -104,3 +105,23 @@ def test_query_identifies_every_document_and_every_page(spark, sf_dir):
         want = sorted(r[0] for r in table(spark, sf_dir, name).select(one).collect())
         assert sorted(r[one] for r in rows if r[one] is not None) == want
     assert all((r.doc_id is None) != (r.page_id is None) and r.lang is not None for r in rows)
+
+
+def test_pages_on_hard_rows(spark):
+    html = "<html lang='de'><body>" + "der die das und ist nicht mit von zu auf " * 5
+    rows = [(1, "http://a.b.de/x", html, 1), (1, "http://a.b.de/x", html, 1), (2, None, None, 1), (None, "no address", "", 1), (3, "http://c.org/en/", "<p>" + "w " * 40000, 1), (4, "http://[", "<html lang=>", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host int").withColumn("parent", F.lit("x")).withColumn("lang", F.lit("y"))
+    found = op.identify_pages(df, {"page_id": F.col("page_id")}).collect()
+    assert len(found) == len(rows) and {r.lang for r in found if r.page_id == 1} == {"de"}
+    assert op.identify_pages(df.limit(0), {"page_id": F.col("page_id")}).count() == 0
+
+
+def test_suffix_and_host_move_what_the_text_leaves_open(spark):
+    """Texts that read alike in two languages go with their address."""
+    rng = np.random.default_rng(3)
+    words = {"en": ["the", "and", "with", "house"], "de": ["der", "und", "mit", "haus"]}
+    page = lambda lang, n: f"<html lang={lang}>" + " ".join(rng.choice(words[lang], n))
+    rows = [(k, f"http://h{k % 3}.{end}/{path}/p", page(lang, 30)) for k, (lang, end, path) in enumerate([("en", "org", "en"), ("de", "de", "de")] * 30)]
+    rows += [(100, "http://h1.de/de/p", "<p>x1"), (101, "http://h1.org/en/p", "<p>x1")]
+    found = {r.page_id: r.lang for r in op.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), {"page_id": F.col("page_id")}).collect()}
+    assert found[100] == "de" and found[101] == "en"
