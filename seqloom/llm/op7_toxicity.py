@@ -6,11 +6,12 @@ often it occurs.  Labels are learned from at most ``sample`` labelled rows, thos
 with the smallest hashes; of their features the ``kept`` with the largest
 chi-square against the label go into a logistic regression fitted in numpy.
 
-Counterfactuals: in labelled sentences the identity terms are swapped for other
-terms, and the squared change of the score is penalised, so that naming a group
-moves no score.  Sentences of the sample that name a group are swapped as they
-are; further labelled sentences serve as carriers in which one word gives way to
-either of two terms, so the penalty also covers terms that the sample lacks.
+Counterfactuals: in every sentence of the sample that names a group the identity
+terms are swapped for other terms; of a text that names none, one sentence picked by
+hash serves as a carrier in which one word gives way to either of two terms, so the
+penalty also covers terms that the sample lacks.  Long sentences are looked at in
+runs of ``RUN`` words.  The squared change of the logit is penalised, so that naming
+a group moves no score.  Only differences of features leave the executors.
 
 Nulls: a null text is an empty one and gets the score of a text without
 features; a null label or id trains nothing; a null id is kept.  Of several
@@ -22,13 +23,13 @@ documents, doc_id and toxic of labels are read.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,42 +43,106 @@ IDENTITY_TERMS = tuple(
     extranjeros discapacitados""".split()
 )
 _WORD = re.compile(r"[^\W_]+")
+_BLANK = re.compile(r"\s")
+_SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
 SPACE = 1 << 20
+#: Words of a sentence that are swapped together.
+RUN = 64
 
 
 def _features(word: str) -> tuple[int, ...]:
     from xxhash import xxh32_intdigest
 
-    parts = {"=" + word[:64], *("^" + word[:n] for n in range(3, 7) if len(word) > n)}
+    parts = {"=" + word, *("^" + word[:n] for n in range(3, 7) if len(word) > n)}
     return tuple(sorted({xxh32_intdigest(p.encode()) % SPACE for p in parts}))
 
 
+def _parts(texts: list[str | None], room: int) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Numbers of texts and their words, some ``room`` code points at a time; a
+    longer text comes in several parts."""
+    at, words, held = [], [], 0
+    for k, text in enumerate(texts):
+        lo = 0
+        while lo < len(text or ""):
+            hi = lo + room
+            if hi < len(text):
+                blank = _BLANK.search(text, hi)
+                hi = blank.start() if blank else len(text)
+            at.append(k)
+            words.append(_WORD.findall(text[lo:hi].lower()))
+            held += min(hi, len(text)) - lo
+            lo = hi
+            if held >= room:
+                yield at, words
+                at, words, held = [], [], 0
+    if at:
+        yield at, words
+
+
+def _sums(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their numbers."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[starts], np.add.reduceat(n, starts) if len(key) else n
+
+
 class Features:
-    """Features of words, remembered for up to ``cached`` of them."""
+    """Features of words, remembered for up to ``cached`` words of 64 letters or
+    fewer.  ``chosen`` names the ones that count, by their numbers."""
 
     def __init__(self, chosen: dict[int, int] | None = None, cached: int = 200_000):
-        self.chosen, self.cached, self.seen = chosen, cached, {}
-
-    def of_word(self, word: str) -> tuple[int, ...]:
-        got = self.seen.get(word)
-        if got is None:
-            got = _features(word)
-            if self.chosen is not None:
-                got = tuple(self.chosen[f] for f in got if f in self.chosen)
-            if len(word) <= 64:
-                if len(self.seen) >= self.cached:
-                    self.seen.clear()
-                self.seen[word] = got
-        return got
-
-    def of_text(self, text: str | None) -> dict[int, float]:
-        """feature -> 1 + log of its count"""
-        counts: dict[int, int] = {}
-        of_word = self.of_word
-        for w, n in Counter(_WORD.findall((text or "").lower())).items():
-            for f in of_word(w):
-                counts[f] = counts.get(f, 0) + n
-        return {f: 1 + math.log(n) for f, n in counts.items()}
+        self.chosen, self.cached = chosen, cached
+        self.size = SPACE if chosen is None else max(1, len(chosen))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def of_word(self, word: str) -> list[int]:
+        got = _features(word)
+        return list(got) if self.chosen is None else [self.chosen[f] for f in got if f in self.chosen]
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        if len(self.index) >= self.cached:
+            self._clear()
+        out = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missed = np.flatnonzero(out < 0)
+        if len(missed):
+            new = dict.fromkeys(words[k] for k in missed.tolist())
+            features = [self.of_word(w) for w in new]
+            at = {w: len(self.index) + k for k, w in enumerate(new)}
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(features), np.int64)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(f) for f in features])])
+            out[missed] = [at[words[k]] for k in missed.tolist()]
+            self.index |= at
+        return out
+
+    def counted(self, texts: list[str | None], room: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, feature, how often) of all texts, by text and feature."""
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, words in _parts(texts, room):
+            numbers = self._numbers(list(chain.from_iterable(words)))
+            of, n_words = np.repeat(at, [len(w) for w in words]), len(self.ends)
+            pairs, n = np.unique(of * n_words + numbers, return_counts=True)
+            text, word = np.divmod(pairs, n_words)
+            per = self.ends[word + 1] - self.ends[word]
+            features = self.flat[np.repeat(self.ends[word] - (np.cumsum(per) - per), per) + np.arange(per.sum())]
+            key, n = _sums(np.repeat(text, per) * self.size + features, np.repeat(n, per))
+            keys.append(key)
+            counts.append(n)
+            if len(self.index) > 2 * self.cached or len(self.flat) > 1 << 23:
+                self._clear()  # many long words
+        key, n = _sums(np.concatenate(keys), np.concatenate(counts))
+        return *np.divmod(key, self.size), n
+
+    def rows(self, texts: list[str | None]) -> list[dict[int, float]]:
+        """For each text, feature -> 1 + log of its count."""
+        text, feature, n = self.counted(texts)
+        cut = np.searchsorted(text, np.arange(len(texts) + 1))
+        x = 1 + np.log(n)
+        return [dict(zip(feature[lo:hi].tolist(), x[lo:hi].tolist(), strict=True)) for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
 
 
 class Classifier:
@@ -85,10 +150,8 @@ class Classifier:
         self.chosen, self.weights, self.bias = chosen, weights, bias
 
     def scores(self, texts: list[str | None], features: Features) -> np.ndarray:
-        z = np.full(len(texts), self.bias)
-        for k, t in enumerate(texts):
-            for f, x in features.of_text(t).items():
-                z[k] += self.weights[f] * x
+        text, feature, n = features.counted(texts)
+        z = self.bias + np.bincount(text, (1 + np.log(n)) * self.weights[feature], len(texts)) if len(text) else np.full(len(texts), self.bias)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -100,40 +163,45 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic")
 
 
-def _swaps(texts: list[str], terms: tuple[str, ...], chosen: dict[int, int], carriers: int, seed: int) -> list[tuple[dict, dict]]:
-    """Pairs of feature rows of a labelled sentence and its counterfactual."""
-    rng, features, terms_set = np.random.default_rng(seed), Features(chosen), set(terms)
-    pairs, plain = [], []
-    for text in texts:
-        for sentence in re.split(r"(?<=[.!?\n])\s+", text):
-            words = _WORD.findall(sentence.lower())
-            at = [k for k, w in enumerate(words) if w in terms_set]
+def swaps(text: str | None, terms: tuple[str, ...], named: set[str], salt: str = "") -> Iterator[tuple[str, str]]:
+    """Pairs of a run of a sentence's words and its counterfactual.  What takes a
+    term's place is drawn by a hash of the words and the place."""
+    from xxhash import xxh64_intdigest
+
+    plain, least = None, None
+    found = False
+    for n, sentence in enumerate(_SENTENCE.split(text or "")):
+        whole = _WORD.findall(sentence.lower())
+        for lo in range(0, len(whole), RUN):
+            words = whole[lo : lo + RUN]
+            at = [k for k, w in enumerate(words) if w in named]
+            drawn = lambda k, words=words: xxh64_intdigest(f"{salt}{k} {' '.join(words)}")
             if at:
+                found = True
                 other = list(words)
                 for k in at:
-                    other[k] = terms[int(rng.integers(len(terms)))]
-                pairs.append((words, other))
-            elif words and len(plain) < carriers:
-                plain.append(words)
-    for words in plain:
-        k = int(rng.integers(len(words)))
-        a, b = rng.choice(len(terms), 2, replace=False)
-        pairs.append((words[:k] + [terms[a]] + words[k + 1 :], words[:k] + [terms[b]] + words[k + 1 :]))
-    return [(features.of_text(" ".join(a)), features.of_text(" ".join(b))) for a, b in pairs]
+                    other[k] = terms[drawn(k) % len(terms)]
+                yield " ".join(words), " ".join(other)
+            elif not found and (least is None or drawn(-1) < least):
+                plain, least = words, drawn(-1)
+    if not found and plain:
+        k, a = least % len(plain), (least >> 20) % len(terms)
+        b = (a + 1 + (least >> 40) % max(1, len(terms) - 1)) % len(terms)
+        yield tuple(" ".join([*plain[:k], terms[t], *plain[k + 1 :]]) for t in (a, b))
 
 
-def _sparse(rows: list[dict[int, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    return row, np.array([f for r in rows for f in r], np.int64), np.array([x for r in rows for x in r.values()], float)
+def _sparse(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, feature and value of the lists f and x."""
+    lengths = pc.list_value_length(rows["f"]).to_numpy()
+    flat = lambda name, kind: pc.list_flatten(rows[name]).to_numpy().astype(kind)
+    return np.repeat(np.arange(rows.num_rows), lengths), flat("f", np.int64), flat("x", float)
 
 
-def fit(rows: list[tuple[dict[int, float], int]], pairs: list[tuple[dict, dict]], n_features: int, penalty: float = 1.0, ridge: float = 1e-4, steps: int = 250) -> tuple[np.ndarray, float]:
+def fit(rows: tuple, toxic: np.ndarray, swapped: tuple, n_swapped: int, n_features: int, penalty: float = 1.0, ridge: float = 1e-4, steps: int = 250) -> tuple[np.ndarray, float]:
     """Logistic regression by Adam: balanced log loss, ridge, and the mean squared
-    change of the logit under the swaps, times ``penalty``."""
-    y = np.array([t for _, t in rows], float)
-    r, f, x = _sparse([x for x, _ in rows])
-    swap = [{k: a.get(k, 0.0) - b.get(k, 0.0) for k in {*a, *b}} for a, b in pairs]
-    sr, sf, sx = _sparse(swap)
+    change of the logit under the swaps (differences of features), times ``penalty``."""
+    y = toxic.astype(float)
+    (r, f, x), (sr, sf, sx) = rows, swapped
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     w, bias = np.zeros(n_features), 0.0
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
@@ -141,9 +209,9 @@ def fit(rows: list[tuple[dict[int, float], int]], pairs: list[tuple[dict, dict]]
         z = bias + np.bincount(r, x * w[f], len(y))
         d = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
         grad = np.bincount(f, x * d[r], n_features) + ridge * w
-        if swap:
-            change = np.bincount(sr, sx * w[sf], len(swap))
-            grad += penalty * 2 / len(swap) * np.bincount(sf, sx * change[sr], n_features)
+        if n_swapped:
+            change = np.bincount(sr, sx * w[sf], n_swapped)
+            grad += penalty * 2 / n_swapped * np.bincount(sf, sx * change[sr], n_features)
         g = np.append(grad, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -151,9 +219,9 @@ def fit(rows: list[tuple[dict[int, float], int]], pairs: list[tuple[dict, dict]]
     return w, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, kept: int = 4096, carriers: int = 2000, penalty: float = 1.0, terms: tuple[str, ...] = IDENTITY_TERMS) -> Classifier:
-    """``sample`` bounds the labelled rows, ``kept`` the features, ``carriers``
-    the sentences (at most 2,000 characters each) that come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, kept: int = 4096, penalty: float = 1.0, terms: tuple[str, ...] = IDENTITY_TERMS) -> Classifier:
+    """``sample`` bounds the labelled rows, ``kept`` the features; what comes to the
+    driver are features of these rows and of their swapped sentences."""
     rows = labelled_sample(docs, labels, sample)
     rows = rows.persist()
     schema = "feature int, toxic int, n long"
@@ -162,12 +230,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, kept: int =
         features, sums = Features(), np.zeros((2, SPACE), np.int64)
         totals = np.zeros(2, np.int64)
         for b in batches:
-            for text, toxic in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                own = set()
-                for w in set(_WORD.findall((text or "").lower())):
-                    own.update(features.of_word(w))
-                sums[int(toxic > 0), list(own)] += 1
-                totals[int(toxic > 0)] += 1
+            toxic = b.column(2).to_numpy() > 0
+            text, feature, _ = features.counted(b.column(1).to_pylist())
+            for label in (0, 1):
+                sums[label] += np.bincount(feature[toxic[text] == bool(label)], minlength=SPACE)
+            totals += np.bincount(toxic, minlength=2)
         t, f = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[f, -1, -1].astype(np.int32)), pa.array(np.r_[t, 0, 1].astype(np.int32)), pa.array(np.r_[sums[t, f], totals])], ["feature", "toxic", "n"])
 
@@ -188,27 +255,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, kept: int =
             chosen.setdefault(f, len(chosen))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(chosen)
-        named = re.compile(r"\b(" + "|".join(map(re.escape, terms)) + r")\b")
+        features, named = Features(chosen), set(terms)
+        lists = lambda rows: [pa.array([list(x) for x in rows], pa.list_(pa.int32())), pa.array([list(x.values()) for x in rows], pa.list_(pa.float32()))]
         for b in batches:
             texts = b.column(1).to_pylist()
-            own = [features.of_text(t) for t in texts]
-            # sentences that name a group, or else a first one as a carrier
-            said = []
-            for t in texts:
-                all_ = [s[:2000] for s in re.split(r"(?<=[.!?\n])\s+", t or "") if s]
-                said.append("\n".join([s for s in all_ if named.search(s.lower())][:4] or all_[:1]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([list(x) for x in own], pa.list_(pa.int32())), pa.array([list(x.values()) for x in own], pa.list_(pa.float32())), pa.array([int(t > 0) for t in b.column(2).to_pylist()], pa.int32()), pa.array(said, pa.string())],
-                ["doc_id", "f", "x", "toxic", "said"],
-            )
+            labels = [int(t > 0) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists(features.rows(texts)), pa.array(labels, pa.int32())], ["doc_id", "f", "x", "toxic"])
+            for k, text in enumerate(texts):
+                if pairs := list(swaps(text, terms, named)):
+                    one, two = features.rows([a for a, _ in pairs]), features.rows([c for _, c in pairs])
+                    moved = [{f: v for f in sorted({*p, *q}) if (v := p.get(f, 0.0) - q.get(f, 0.0))} for p, q in zip(one, two, strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k] * len(moved))), *lists(moved), pa.nulls(len(moved), pa.int32())], ["doc_id", "f", "x", "toxic"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    local = rows.mapInArrow(sparse, f"doc_id {kind}, f array<int>, x array<float>, toxic int, said string").toArrow().sort_by("doc_id")
+    local = rows.mapInArrow(sparse, f"doc_id {kind}, f array<int>, x array<float>, toxic int").toArrow().sort_by("doc_id")
     rows.unpersist(), per.unpersist()
-    data = [(dict(zip(f, x, strict=True)), t) for f, x, t in zip(local["f"].to_pylist(), local["x"].to_pylist(), local["toxic"].to_pylist(), strict=True)]
-    pairs = _swaps([s for s in local["said"].to_pylist() if s], terms, chosen, carriers, seed=11)
-    w, bias = fit(data, pairs, len(chosen), penalty)
+    told = local["toxic"].is_valid()
+    data, moved = local.filter(told), local.filter(pc.invert(told))
+    w, bias = fit(_sparse(data), data["toxic"].to_numpy(), _sparse(moved), moved.num_rows, len(chosen), penalty)
     return Classifier(chosen, w, bias)
 
 
