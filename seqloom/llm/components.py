@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import written
+from seqloom.llm.common import removed, written
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -39,6 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = written(small, "links")
         sums, was = _digest(new), sums
+        removed(edges)
         if sums == was:
             return new.select(F.col("u").alias("node"), F.col("v").alias("root")).union(new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         edges = new

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from seqloom.llm.attention import Adam, Attention, transitions, values_of
-from seqloom.llm.common import crc_mod, table, written
+from seqloom.llm.common import crc_mod, removed, table, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Words that are read with one context.
@@ -377,6 +377,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, classes: int = 256, own
     read = written(spelled(docs, shared, name, rounds, rare, per), "spelled", "turn")
     values = values_of(count_transitions(read, classes, distances, half), pieces.own)
     theta, best = train(read, values, rounds, half)
+    removed(read)
     word_share = best if word_share is None else word_share
     learned = spark.sparkContext.broadcast((values, theta))
     arrow_kind = to_arrow_type(kind)
