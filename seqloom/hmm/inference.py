@@ -75,9 +75,10 @@ def forward(hmm: Hmm, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return out, ll
 
 
-def backward(hmm: Hmm, x: np.ndarray, filtered: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """From the last place: (place, P(state | all tokens), P(state, next state |
-    all tokens) or None)."""
+def backward(hmm: Hmm, x: np.ndarray, filtered: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, np.ndarray] | None]]:
+    """From the last place: (place, P(state | all tokens), and, but for the last, two
+    factors a (n, H) and b (n, H): a[i] move[i, j] b[j] is P(state i, next state j |
+    all tokens))."""
     b = np.ones((len(x), hmm.states))
     pair = None
     for t in range(x.shape[1] - 1, -1, -1):
@@ -86,8 +87,7 @@ def backward(hmm: Hmm, x: np.ndarray, filtered: list[np.ndarray]) -> Iterator[tu
         yield t, p, pair
         if t:
             later = emissions(hmm, x[:, t]) * b
-            pair = filtered[t - 1][:, :, None] * hmm.move[None] * later[:, None, :]
-            pair /= np.maximum(pair.sum((1, 2)), 1e-300)[:, None, None]
+            pair = filtered[t - 1] / np.maximum(((filtered[t - 1] @ hmm.move) * later).sum(1), 1e-300)[:, None], later
             b = later @ hmm.move.T
             b /= np.maximum(b.sum(1), 1e-300)[:, None]
 
@@ -115,7 +115,7 @@ def posterior(df: DataFrame, hmm: Hmm, key: str, tokens: str = "tokens") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for group, x, n in grouped(b.column(1), hmm.states**2):
+            for group, x, n in grouped(b.column(1), hmm.states):
                 for t, p, _ in backward(hmm, x, forward(hmm, x)[0]):
                     rows = np.flatnonzero(n > t)
                     keys = b.column(0).take(pa.array(np.repeat(group[rows], hmm.states)))
@@ -135,12 +135,13 @@ def flows(df: DataFrame, hmm: Hmm, tokens: str = "tokens") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit = np.zeros(h), np.zeros((h, h)), np.zeros((v + 1, h))
         for b in batches:
-            for _, x, n in grouped(b.column(0), h * h):
+            for _, x, n in grouped(b.column(0), h):
                 possible = (x < v).all(1)
                 x, n = x[possible], n[possible]
                 for t, p, pair in backward(hmm, x, forward(hmm, x)[0]):
                     if pair is not None:
-                        move += pair[n > t + 1].sum(0)
+                        # summed over sequences by one product, no table of pairs for each
+                        move += hmm.move * (pair[0][n > t + 1].T @ pair[1][n > t + 1])
                     there = n > t
                     np.add.at(emit, np.where(x[there, t] < 0, v, x[there, t]), p[there])
                     if t == 0:

@@ -1,8 +1,8 @@
 """Models: probabilities on the driver, tables for Spark.
 
-Sizes: transition matrices are broadcast with each task, so the number of hidden
-states is meant for up to a few hundred and is checked; token ids run from 0, and
-null or -1 is a missing token.
+Sizes: parameters travel to the executors, so their bytes are checked (some 4,000
+hidden states with as many tokens); work on a token takes a product with the
+transition matrix.  Token ids run from 0; null or -1 is a missing token.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of parameters that may travel with a task.
-LARGEST = 64 << 20
+LARGEST = 256 << 20
 #: Stands for the logarithm of 0.
 LOG_ZERO = -1e30
 
