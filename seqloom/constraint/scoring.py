@@ -90,20 +90,26 @@ class Constraint:
                 out.append(s)
         return out
 
-    def read(self, a: np.ndarray, q: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next hidden state's probabilities and the automaton's state after the
-        rows' first ``n`` tokens, from those before."""
+    def read(self, a: np.ndarray, q: np.ndarray, x: np.ndarray, n: np.ndarray, back: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The next hidden state's probabilities after the rows' first ``n`` tokens,
+        from those before, and the automaton's states (back + 1, rows) there and up
+        to ``back`` tokens earlier (-1: before the first)."""
         table = np.array(self.dfa.step)
         most = max([self.hmm.tokens - 1, *(t for t in self.dfa.classes if isinstance(t, int))])
         classes = np.array([self.dfa.classes.get(t, 0) for t in range(most + 1)] + [0])
-        for t in range(x.shape[1]):
+        before = np.full((back + 1, len(n)), -1)
+        for t in range(x.shape[1] + 1):
+            here = np.flatnonzero((n >= t) & (n - t <= back))
+            before[n[here] - t, here] = q[here]
+            if t == x.shape[1]:
+                break
             e = a * emissions(self.hmm, x[:, t])
             after = (e / np.maximum(e.sum(1), 1e-300)[:, None]) @ self.hmm.move
             there = n > t
             a = np.where(there[:, None], after, a)
             known = (x[:, t] >= 0) & (x[:, t] <= most)
             q = np.where(there, table[q, classes[np.where(known, x[:, t], most + 1)]], q)
-        return a, q
+        return a, before
 
     def next(self, prefix: list[int], tokens: list[int], sums: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(w and the constraint | prefix, tokens), P(w | prefix, tokens) for every w."""
@@ -115,19 +121,22 @@ class Constraint:
     def after(self, a: np.ndarray, tokens: list[list[int]], sums: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``next`` for many rows: ``a`` holds what their prefixes leave."""
         n = np.array([len(t) for t in tokens], np.int64)
-        x = np.full((len(n), int(n.max(initial=0))), -1, np.int64)
+        x, goal = np.full((len(n), max(1, int(n.max(initial=0)))), -1, np.int64), len(self.suffix)
         for k, t in enumerate(tokens):
             x[k, : n[k]] = [-1 if w is None else w for w in t]
-        a, q = self.read(a, np.zeros(len(n), np.int64), x, n)
+        a, before = self.read(a, np.zeros(len(n), np.int64), x, n, goal)
+        q = before[0]
         held, num = a[:, :, None] * self.hmm.emit, np.zeros((len(n), self.hmm.tokens))
         for w in range(self.hmm.tokens):
             then = np.array([self.dfa.next(s, w) for s in range(len(self.dfa.step))])[q]
             open_ = n < self.most
             num[open_, w] = np.einsum("ri,ri->r", held[open_, :, w], sums[n[open_], then[open_]])
-        for k, t in enumerate(tokens):
-            for s in self.overlaps(t):
-                if s < len(self.suffix):
-                    num[k, self.suffix[s]] += a[k] @ costs[s]
+        for s in range(goal):
+            # rows that may already end in the suffix's first s tokens
+            ends = np.isin(before[s], list(self.dfa.accept)) & (n - s >= self.least) & (n - s <= self.most)
+            for k in range(s):
+                ends &= x[np.arange(len(n)), np.maximum(n - s + k, 0)] == self.suffix[k]
+            num[ends, self.suffix[s]] += a[ends] @ costs[s]
         return num, held.sum(1)
 
 
@@ -147,6 +156,7 @@ def satisfaction(df: DataFrame, constraint: Constraint, key: str, tokens: str =
                 raise ValueError(f"ranges have to lie between 0 and {constraint.most}")
             for rows, x, n in grouped(b.column(1), hmm.states):
                 a, q = constraint.read(np.tile(hmm.start, (len(rows), 1)), np.zeros(len(rows), np.int64), x, n)
+                q = q[0]
                 some = np.maximum(upto[hi[rows] + 1, q] - upto[np.minimum(lo[rows], hi[rows] + 1), q], 0)
                 p[rows] = (a * some).sum(1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(p > 0)], [key, "p", "feasible"])
