@@ -3,7 +3,9 @@
 Evidence, all of it counted over the whole input:
 
 * the text: a multinomial model of trigrams of letter bytes (hashed to
-  ``buckets``) for each language, learned from all texts by what they declare;
+  ``buckets``) for each language, learned from all texts by what they declare; half
+  of the trigrams may be of no language, so that a few that no text has don't
+  outweigh the others of a short text;
 * the declared markup language and the address suffix: how often each value
   stands with texts that read as each language, by grouped aggregation;
 * the host: a prior smoothed from the host to its parent domain to the whole,
@@ -105,7 +107,7 @@ def trigram_model(docs: DataFrame, declared: Column, languages: tuple[str, ...],
     for lang, bucket, n in sums:
         counts[lang, bucket] += n
     counts[-1] = 1
-    model = np.log(counts / counts.sum(1, keepdims=True))
+    model = np.log(0.5 * counts / counts.sum(1, keepdims=True) + 0.5 / buckets)
     # a language that no text declares has no model: no text reads as it
     model[[k for k in range(len(languages)) if k not in {r[0] for r in sums}]] = -50
     return model, bool(sums)

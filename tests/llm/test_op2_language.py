@@ -29,7 +29,7 @@ def brute(rows, full_weight=200, accept=0.5):
         if r[3] in langs:
             np.add.at(counts[langs.index(r[3])], g, 1)
     counts[-1] = 1
-    model = np.log(counts / counts.sum(1, keepdims=True))
+    model = np.log(0.5 * counts / counts.sum(1, keepdims=True) + 0.5 / op.BUCKETS)
     ll = [model[:, g].sum(1) * min(1, full_weight / max(1, len(g))) for g in grams]
     best = [int(np.argmax(x[:m])) if g else None for x, g in zip(ll, grams)]
     smooth = lambda c, p, a: (np.array(c) + a * np.array(p)) / (sum(c) + a)
@@ -83,6 +83,14 @@ def test_wrong_declarations_are_overruled_and_noise_is_rejected(frame, spark, sf
     assert sum(found[k].accepted for k in range(len(rows) - 2)) == len(rows) - 2
 
 
+def test_short_clean_texts_stay(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    short = spark.createDataFrame([(10**9, "A. All rights reserved.", "en", "src1"), (10**9 + 1, "CC BY 4.0, no warranty.", "en", "src2"), (10**9 + 2, "xqzjv wkpqx zzjqk vvxwq jjkqz", None, "src1")], docs.schema)
+    found = {r.doc_id: r for r in identify(docs.union(short)).collect()}
+    assert found[10**9].accepted and found[10**9 + 1].accepted and not found[10**9 + 2].accepted
+
+
 def test_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     found = op.identify_pages(pages, {"page_id": F.col("page_id")})
