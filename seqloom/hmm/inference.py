@@ -150,7 +150,8 @@ def flows(df: DataFrame, hmm: Hmm, tokens: str = "tokens") -> DataFrame:
         parts = [("gamma", np.arange(h, dtype=np.int32), None, start), ("alpha", *place(h, h), move.ravel()), ("beta", *place(h, v + 1), emit.T.ravel())]
         for kind, i, k, mass in parts:
             second = pa.nulls(len(i), pa.int32()) if k is None else pa.array(k)
-            yield pa.RecordBatch.from_arrays([pa.repeat(kind, len(i)), pa.array(i), second, pa.array(mass)], ["kind", "i", "k", "mass"])
+            whole = pa.RecordBatch.from_arrays([pa.repeat(kind, len(i)), pa.array(i), second, pa.array(mass)], ["kind", "i", "k", "mass"])
+            yield from (whole.slice(lo, 1 << 16) for lo in range(0, len(i), 1 << 16))
 
     return df.select(tokens).mapInArrow(run, "kind string, i int, k int, mass double").groupBy("kind", "i", "k").agg(F.sum("mass").alias("mass"))
 
