@@ -156,20 +156,50 @@ def flows(df: DataFrame, hmm: Hmm, tokens: str = "tokens") -> DataFrame:
     return df.select(tokens).mapInArrow(run, "kind string, i int, k int, mass double").groupBy("kind", "i", "k").agg(F.sum("mass").alias("mass"))
 
 
-def sample(spark: SparkSession, hmm: Hmm, n: int, length: int, seed: int = 0, stop: int | None = None) -> DataFrame:
-    """(seq_id, tokens): sequences drawn from the model, filled up with the stop
-    token once it is drawn.  A sequence depends on the seed and its id alone."""
+def narrowed(p: np.ndarray, temperature: float = 1.0, top_k: int | None = None, top_p: float | None = None) -> np.ndarray:
+    """Rows of probabilities at a temperature, held to the ``top_k`` largest and to the
+    fewest that make up ``top_p``, ties to the smaller token; rows sum to 1."""
+    p = (p / np.maximum(p.max(1, keepdims=True), 1e-300)) ** (1 / temperature)
+    p /= p.sum(1, keepdims=True)
+    if top_k is None and top_p is None:
+        return p
+    order = np.argsort(-p, axis=1, kind="stable")
+    falling = np.take_along_axis(p, order, 1)
+    keep = np.ones(p.shape, bool)
+    if top_k is not None:
+        keep[:, top_k:] = False
+    if top_p is not None:
+        keep &= np.cumsum(np.where(keep, falling, 0), 1) - falling < top_p * np.where(keep, falling, 0).sum(1, keepdims=True)
+    out = np.zeros(p.shape)
+    np.put_along_axis(out, order, np.where(keep, falling, 0), 1)
+    return out / out.sum(1, keepdims=True)
+
+
+def sample(
+    spark: SparkSession, hmm: Hmm, n: int, length: int, seed: int = 0, stop: int | None = None, temperature: float = 1.0, top_k: int | None = None, top_p: float | None = None, step: int = 1024
+) -> DataFrame:
+    """(seq_id, tokens): sequences drawn from the model token by token, filled up with
+    the stop token once it is drawn.  A sequence depends on the seed and its id alone;
+    ``step`` of them are drawn side by side."""
+
+    def drawn(ids: list[int]) -> np.ndarray:
+        u = np.array([np.random.default_rng((seed, k)).random(length) for k in ids]).reshape(len(ids), length)
+        a, out, ended = np.tile(hmm.start, (len(ids), 1)), np.zeros((len(ids), length), np.int32), np.zeros(len(ids), bool)
+        for t in range(length):
+            up = np.cumsum(narrowed(a @ hmm.emit, temperature, top_k, top_p), 1)
+            # the first token whose sum is beyond the draw; none has no share of its own
+            w = (up <= u[:, t : t + 1] * up[:, -1:]).sum(1)
+            if stop is not None:
+                w = np.where(ended, stop, w)
+                ended |= w == stop
+            out[:, t] = w
+            e = a * emissions(hmm, w)
+            a = (e / np.maximum(e.sum(1), 1e-300)[:, None]) @ hmm.move
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for k in b.column(0).to_pylist():
-                rng = np.random.default_rng((seed, k))
-                z, tokens = rng.choice(hmm.states, p=hmm.start), []
-                for _ in range(length):
-                    tokens.append(stop if stop is not None and tokens[-1:] == [stop] else int(rng.choice(hmm.tokens, p=hmm.emit[z])))
-                    z = rng.choice(hmm.states, p=hmm.move[z])
-                out.append(tokens)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["seq_id", "tokens"])
+        for whole in batches:
+            for b in (whole.slice(lo, step) for lo in range(0, whole.num_rows, step)):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(drawn(b.column(0).to_pylist()).tolist(), pa.list_(pa.int32()))], ["seq_id", "tokens"])
 
     return spark.range(n).withColumnRenamed("id", "seq_id").mapInArrow(run, "seq_id long, tokens array<int>")

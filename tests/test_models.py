@@ -231,3 +231,31 @@ def test_sampling_follows_the_model(spark):
     share = np.bincount([r.tokens[0] for r in rows], minlength=5) / 3000
     assert np.allclose(share, M.start @ M.emit, atol=0.04)
     assert all(4 not in r.tokens or set(r.tokens[r.tokens.index(4) :]) == {4} for r in inference.sample(spark, M, 50, 8, stop=4).collect())
+
+
+def test_narrowed_probabilities():
+    p = np.array([[0.1, 0.4, 0.4, 0.1], [0.7, 0.1, 0.1, 0.1]])
+    assert np.allclose(inference.narrowed(p), p)
+    assert np.allclose(inference.narrowed(p, top_k=1), [[0, 1, 0, 0], [1, 0, 0, 0]])
+    assert np.allclose(inference.narrowed(p, top_p=0.75), [[0, 0.5, 0.5, 0], [0.875, 0.125, 0, 0]])
+    assert np.allclose(inference.narrowed(p, temperature=0.5)[1], np.array([0.49, 0.01, 0.01, 0.01]) / 0.52)
+    assert np.allclose(inference.narrowed(p, top_k=3, top_p=0.5), [[0, 0.5, 0.5, 0], [1, 0, 0, 0]])
+
+
+def test_sampling_with_one_choice_is_the_likeliest_token_each_time(spark):
+    rows = inference.sample(spark, M, 5, 6, seed=1, top_k=1, step=2).collect()
+    a, want = M.start, []
+    for _ in range(6):
+        want.append(int((a @ M.emit).argmax()))
+        e = a * M.emit[:, want[-1]]
+        a = (e / e.sum()) @ M.move
+    assert all(r.tokens == want for r in rows)
+
+
+def test_shards_and_small_batches_change_nothing(spark, rows):
+    flow = lambda df: {(r.kind, r.i, r.k): r.mass for r in inference.flows(df, M).collect()}
+    assert flow(rows.repartition(1)) == pytest.approx(flow(rows.repartition(5, "k")))
+    c = Constraint(contains([0]), M, 1, 3, (4,))
+    asked = rows.select("k", F.slice("tokens", 1, 1).alias("prefix"), F.slice("tokens", 2, 2).alias("tokens"))
+    got = [{(r.k, r.token): r.num - 2 * r.den for r in next_tokens(asked.coalesce(1), c, "k", step=step).collect()} for step in (1, 2, 1024)]
+    assert got[0] == pytest.approx(got[2]) and got[1] == pytest.approx(got[2])
