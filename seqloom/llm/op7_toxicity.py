@@ -44,12 +44,23 @@ IDENTITY_TERMS = tuple(
 )
 _WORD = re.compile(r"[^\W_]+")
 _BLANK = re.compile(r"\s")
+_FOREIGN = re.compile(r"[^\w\s\x00-\x7f]")
+_LETTERS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
 SPACE = 1 << 20
 #: Words of a sentence that are swapped together.
 RUN = 64
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits.  Only texts with other signs beyond ASCII need the
+    slower search."""
+    text = text.lower()
+    if _FOREIGN.search(text):
+        return _WORD.findall(text)
+    return text.encode("utf-8", "surrogatepass").translate(_LETTERS).decode("utf-8", "surrogatepass").split()
+
+
 def _features(word: str) -> tuple[int, ...]:
     from xxhash import xxh32_intdigest
 
@@ -69,7 +80,7 @@ def _parts(texts: list[str | None], room: int) -> Iterator[tuple[list[int], list
                 blank = _BLANK.search(text, hi)
                 hi = blank.start() if blank else len(text)
             at.append(k)
-            words.append(_WORD.findall(text[lo:hi].lower()))
+            words.append(words_of(text[lo:hi]))
             held += min(hi, len(text)) - lo
             lo = hi
             if held >= room:
@@ -98,11 +109,27 @@ class Features:
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.begun: dict[str, int] = {}
         self.flat, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
+    def _one(self, part: str) -> int:
+        from xxhash import xxh32_intdigest
+
+        f = xxh32_intdigest(part.encode()) % SPACE
+        return f if self.chosen is None else self.chosen.get(f, -1)
+
     def of_word(self, word: str) -> list[int]:
-        got = _features(word)
-        return list(got) if self.chosen is None else [self.chosen[f] for f in got if f in self.chosen]
+        """What ``_features`` gives, of the chosen ones; words share beginnings, so
+        these are remembered too."""
+        out, begun = {self._one("=" + word)}, self.begun
+        for n in range(3, min(7, len(word))):
+            part = word[:n]
+            f = begun.get(part)
+            if f is None:
+                f = begun[part] = self._one("^" + part)
+            out.add(f)
+        out.discard(-1)
+        return sorted(out)
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         if len(self.index) >= self.cached:
@@ -123,18 +150,24 @@ class Features:
         """(text, feature, how often) of all texts, by text and feature."""
         keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at, words in _parts(texts, room):
-            numbers = self._numbers(list(chain.from_iterable(words)))
-            of, n_words = np.repeat(at, [len(w) for w in words]), len(self.ends)
-            pairs, n = np.unique(of * n_words + numbers, return_counts=True)
-            text, word = np.divmod(pairs, n_words)
+            word = self._numbers(list(chain.from_iterable(words)))
             per = self.ends[word + 1] - self.ends[word]
             features = self.flat[np.repeat(self.ends[word] - (np.cumsum(per) - per), per) + np.arange(per.sum())]
-            key, n = _sums(np.repeat(text, per) * self.size + features, np.repeat(n, per))
-            keys.append(key)
+            key = np.repeat(np.repeat(at, [len(w) for w in words]) - at[0], per) * self.size + features
+            if (at[-1] - at[0] + 1) * self.size <= 1 << 22:
+                # a table of texts by features
+                table = np.bincount(key)
+                key = np.flatnonzero(table)
+                n = table[key]
+            else:
+                key, n = _sums(key, np.ones(len(key), np.int64))
+            keys.append(key + at[0] * self.size)
             counts.append(n)
-            if len(self.index) > 2 * self.cached or len(self.flat) > 1 << 23:
+            if len(self.index) > 2 * self.cached or len(self.begun) > 4 * self.cached or len(self.flat) > 1 << 23:
                 self._clear()  # many long words
-        key, n = _sums(np.concatenate(keys), np.concatenate(counts))
+        key, n = np.concatenate(keys), np.concatenate(counts)
+        if (key[1:] <= key[:-1]).any():
+            key, n = _sums(key, n)  # a text came in several parts
         return *np.divmod(key, self.size), n
 
     def rows(self, texts: list[str | None]) -> list[dict[int, float]]:

@@ -105,6 +105,11 @@ def test_scores_against_one_word_at_a_time(spark, sf_dir):
     assert at[: len(at) // 2] == at[len(at) // 2 :]
 
 
+def test_words_are_runs_of_letters_and_digits():
+    for t in ("", "a_b-c d", "Größe, ñandú! x\u00a0y\u2003z", "what\u2014ever \u201cit\u201d e\u0301", "\x1c1\x85 2", "İstanbul ǅ 한국어 ١٢", "\U0001f600 a"):
+        assert op.words_of(t) == op._WORD.findall(t.lower())
+
+
 def test_every_named_sentence_is_swapped_and_long_ones_whole():
     terms, named = ("women", "men", "gays"), {"women", "men", "gays"}
     text = "x " * 1500 + "the women left. Men stayed here. none. " + "y " * 70 + "gays " + "y " * 70
